@@ -74,7 +74,9 @@ def task_pair_label(source, destination) -> Column:
 
 
 def executor_label(begin, end) -> Column:
-    return F.format_string("[%d, %d]", _col(begin), _col(end))
+    """Null for a missing executor."""
+    label = F.format_string("[%d, %d]", _col(begin), _col(end))
+    return F.when(_col(begin).isNotNull(), label)
 
 
 def executor_text(component, begin, end) -> Column:

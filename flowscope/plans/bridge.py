@@ -160,7 +160,7 @@ class Bridge:
     def slot_node(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("node"))
         slots = self.placement.select("topology_id", "slot_id").distinct()
-        key = (F.col("slot_id") * 3 + F.col("topology_id")) % 25
+        key = (_div("slot_id", 2) * 3 + F.col("topology_id")) % 25
         return (
             slots.withColumn("n_nationkey", key)
             .join(nation, "n_nationkey")
@@ -322,13 +322,8 @@ class Bridge:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        events = self.table("events").filter(F.col("event_id") % 3 == 0)
-        return events.select(
-            F.col("ts").cast("date").alias("snapshot"),
-            F.col("event_type").alias("host"),
-            (F.col("user_id") % 2).cast("int").alias("port"),
-            F.concat(F.lit("c"), (_div("event_id", 3) % 3).cast("string")).alias("executor"),
-        ).distinct()
+        rows = snapshot_rows(self.table("events"))
+        return rows.withColumn("snapshot", F.col("ts").cast("date")).drop("ts").distinct()
 
     @cached_property
     def snapshot_topologies(self) -> DataFrame:
@@ -390,6 +385,16 @@ def receipts_of(events: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_rows(events: DataFrame) -> DataFrame:
+    """Assignment rows from event rows, batch or stream."""
+    return events.filter(F.col("event_id") % 3 == 0).select(
+        "ts",
+        F.col("event_type").alias("host"),
+        (F.col("user_id") % 2).cast("int").alias("port"),
+        F.concat(F.lit("c"), (_div("event_id", 3) % 3).cast("string")).alias("executor"),
+    )
+
+
 def evaluations_of(events: DataFrame) -> DataFrame:
     """Evaluations from event rows, batch or stream."""
     current = F.round(F.col("value") * 100).cast("long")

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from flowscope.functions import params as P
 from flowscope.functions import text as X
 from flowscope.operators import choose, cooldown, history, placement, resolve, rollup, series, sets, whatif
-from flowscope.plans.bridge import Bridge
+from flowscope.plans.bridge import Bridge, evaluations_of, receipts_of, snapshot_rows
 from flowscope.runtime import scratch_path
 from flowscope.schema import EXECUTOR, SLOT
 from flowscope.sources import cpuinfo, latest, tables
+from flowscope.streaming import decisions, stats
+from flowscope.streaming.sources import read_files, run_to_end, with_event_time
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -864,3 +866,91 @@ def _judged(evaluations: DataFrame) -> DataFrame:
 def _(b: Bridge) -> DataFrame:
     fired = cooldown.cooldown_alerts(_judged(b.evaluations))
     return fired.select("topology_key", "event_id", X.format_ts("eval_ts").alias("eval_ts"))
+
+
+# Streams --------------------------------------------------------------------------
+#
+# Each query runs its stream to the present end of a file source and reads the
+# sink back.  Windows still open at the end are not emitted.
+
+DELAY = "1 hour"
+
+
+def _event_stream(b: Bridge) -> DataFrame:
+    schema = b.table("events").schema
+    return with_event_time(read_files(b.spark, b.sf_dir, schema, pattern="events.parquet"))
+
+
+def _landed(b: Bridge, stream: DataFrame, label: str) -> tuple[DataFrame, str]:
+    root = scratch_path(b.spark, label)
+    run_to_end(stream, f"{root}/out", f"{root}/checkpoint")
+    return b.spark.read.schema(stream.schema).parquet(f"{root}/out"), f"{root}/out"
+
+
+def _relay(b: Bridge, stream: DataFrame, label: str) -> DataFrame:
+    """Lands a stream in a table and streams on from there."""
+    _, path = _landed(b, stream, label)
+    return read_files(b.spark, path, stream.schema)
+
+
+@query("stream_receipts")
+def _(b: Bridge) -> DataFrame:
+    landed, _ = _landed(b, receipts_of(_event_stream(b)), "receipts")
+    return landed.withColumn("ts", X.format_ts("ts"))
+
+
+def _stream_counts(b: Bridge) -> DataFrame:
+    return stats.stream_tuple_counts(receipts_of(_event_stream(b)), SLOT_LENGTH, DELAY)
+
+
+def _stream_rates(b: Bridge) -> DataFrame:
+    counts = _relay(b, _stream_counts(b), "slot-counts")
+    scaled = counts.withColumn("tuples", F.col("tuples") * SLOT_SECONDS)
+    return stats.stream_moving_rate(scaled, HISTORY, 5000)
+
+
+@query("stream_tuple_counts")
+def _(b: Bridge) -> DataFrame:
+    landed, _ = _landed(b, _stream_counts(b), "slot-counts")
+    return landed.withColumn("slot_start", X.format_ts("slot_start"))
+
+
+@query("stream_moving_rate")
+def _(b: Bridge) -> DataFrame:
+    landed, _ = _landed(b, _stream_rates(b), "rates")
+    return landed.withColumn("slot_start", X.format_ts("slot_start"))
+
+
+@query("stream_counter_delta")
+def _(b: Bridge) -> DataFrame:
+    root = scratch_path(b.spark, "counters")
+    samples = with_event_time(b.cpu)
+    samples.write.parquet(f"{root}/samples")
+    source = read_files(b.spark, f"{root}/samples", samples.schema)
+    landed, _ = _landed(b, stats.stream_counter_delta(source, CLOCK_HZ), "cycles")
+    return landed.select("thread_id", "event_id", "cpu_total", "cycles")
+
+
+@query("stream_upsert_stats")
+def _(b: Bridge) -> DataFrame:
+    root = scratch_path(b.spark, "stats")
+    rates = _stream_rates(b)
+    stats.store_stats(rates, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    log = stats.read_stats(b.spark, f"{root}/log", rates.schema)
+    keys = ["topology_key", "source_task", "destination_task"]
+    return latest.latest(log, keys, ["slot_start"])
+
+
+@query("stream_cooldown_alerts")
+def _(b: Bridge) -> DataFrame:
+    judged = _judged(evaluations_of(_event_stream(b)))
+    landed, _ = _landed(b, decisions.stream_cooldown_alerts(judged), "alerts")
+    return landed.withColumn("eval_ts", X.format_ts("eval_ts"))
+
+
+@query("stream_assignment_changes")
+def _(b: Bridge) -> DataFrame:
+    rows = snapshot_rows(_event_stream(b)).withColumn("cluster", F.lit("main"))
+    marks = _relay(b, decisions.stream_fingerprints(rows, "1 day", DELAY), "fingerprints")
+    landed, _ = _landed(b, decisions.stream_assignment_changes(marks), "changes")
+    return landed.select(F.date_format("snapshot", "yyyy-MM-dd").alias("snapshot"))

@@ -63,7 +63,7 @@ from b_load"""
 
 VIEWS["b_slot_node"] = """
 select distinct x.topology_id, x.slot_id, n.n_name node
-from b_exec_slot x join nation n on n.n_nationkey = (x.slot_id * 3 + x.topology_id) % 25"""
+from b_exec_slot x join nation n on n.n_nationkey = (x.slot_id // 2 * 3 + x.topology_id) % 25"""
 
 VIEWS["b_params"] = """
 select e.topology_id, cast(3 + 2 * e.topology_id as int) workers, e.executor_count, e.total_load,
@@ -939,6 +939,45 @@ select topology_key, eval_ts, event_id from fire join b_wanted using (topology_k
 QUERY_SQL["cooldown_alerts"] = """
 select topology_key, event_id, strftime(eval_ts, '%Y-%m-%d %H:%M:%S') eval_ts from b_fires"""
 
+# Streams: what is closed when the watermark stands one hour before the last event.
+
+VIEWS["b_closed_counts"] = """
+select time_bucket(interval '6 hours', ts) slot, topology_key, source_task, destination_task, count(*) tuples
+from b_receipts group by 1, 2, 3, 4
+having time_bucket(interval '6 hours', ts) + interval '6 hours'
+       <= (select max(ts) from events) - interval '1 hour'"""
+
+VIEWS["b_closed_rates"] = """
+select topology_key, source_task, destination_task, slot,
+       cast(sum(tuples * 21600) over w // (count(*) over w * 5000) as bigint) rate
+from b_closed_counts window w as (
+  partition by topology_key, source_task, destination_task order by slot rows between 5 preceding and current row)"""
+
+QUERY_SQL["stream_receipts"] = """
+select topology_key, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, event_id, source_task, destination_task from b_receipts"""
+
+QUERY_SQL["stream_tuple_counts"] = """
+select strftime(slot, '%Y-%m-%d %H:%M:%S') slot_start, topology_key, source_task, destination_task, tuples
+from b_closed_counts"""
+
+QUERY_SQL["stream_moving_rate"] = """
+select topology_key, source_task, destination_task, strftime(slot, '%Y-%m-%d %H:%M:%S') slot_start, rate
+from b_closed_rates"""
+
+QUERY_SQL["stream_counter_delta"] = QUERY_SQL["counter_delta"]
+
+QUERY_SQL["stream_upsert_stats"] = """
+select topology_key, source_task, destination_task, rate from (
+  select *, row_number() over (partition by topology_key, source_task, destination_task order by slot desc) rn
+  from b_closed_rates) q
+where rn = 1"""
+
+QUERY_SQL["stream_cooldown_alerts"] = QUERY_SQL["cooldown_alerts"]
+
+QUERY_SQL["stream_assignment_changes"] = """
+select strftime(snapshot, '%Y-%m-%d') snapshot from b_changes
+where snapshot + interval '1 day' <= (select max(ts) from events) - interval '1 hour'"""
+
 
 def _closure(sql: str) -> list[str]:
     """Views a text needs, in definition order."""
