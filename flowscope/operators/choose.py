@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowscope.operators.joins import spread_join
 from flowscope.operators.numbering import hierarchical_rank, pair_dimensions
 from flowscope.operators.placement import fits_load
 
+BLOCK = 4096
+
 
 def rank_executor_traffic(pairs: DataFrame) -> DataFrame:
-    """Position of each pair within its topology, heaviest first, ties by ids."""
-    return hierarchical_rank(
-        pairs,
+    """Position of each pair within its topology, heaviest first, ties by ids.
+
+    Among equally heavy pairs of one source, destinations are cut into blocks
+    of ids, so that a hub of light edges is no single group either.
+    """
+    keyed = pairs.withColumns(
+        {
+            "__src": F.struct("src_begin", "src_end"),
+            "__block": F.call_function("div", F.col("dst_begin"), F.lit(BLOCK)),
+        }
+    )
+    ranked = hierarchical_rank(
+        keyed,
         ["topology_id"],
-        [("traffic", False), ("src_begin", True)],
-        ["src_end", "dst_begin", "dst_end"],
+        [("traffic", False), ("__src", True), ("__block", True)],
+        ["dst_begin", "dst_end"],
     )
+    return ranked.drop("__src", "__block")
 
 
 def top_executor_pairs(pairs: DataFrame, k: int | None = None) -> DataFrame:
@@ -153,8 +167,12 @@ def least_loaded_slot(
     )
     fits = fits_load(F.col("__slot.load"), F.col(extra), F.col("__slot.max_load"))
     return (
-        requests.withColumn("__places", F.col(k).cast("long"))
-        .join(picks, ["topology_id", "__places"], "left")
+        spread_join(
+            requests.withColumn("__places", F.col(k).cast("long")),
+            picks,
+            ["topology_id", "__places"],
+            [c for c in requests.columns if c != "topology_id"],
+        )
         .withColumn(name, F.when(fits, F.col("__slot.slot_id")))
         .drop("__places", "__slot")
     )
@@ -208,8 +226,12 @@ def least_loaded_node(
     )
     first = F.get(F.filter("__steps", lambda s: s["__spare"] >= F.col(extra)), F.lit(0))
     return (
-        requests.withColumn("__k", F.col(k))
-        .join(steps, ["topology_id", "__k"], "left")
+        spread_join(
+            requests.withColumn("__k", F.col(k)),
+            steps,
+            ["topology_id", "__k"],
+            [c for c in requests.columns if c != "topology_id"],
+        )
         .withColumn(name, first["node"])
         .drop("__k", "__steps")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions import params as P
 from flowscope.functions.text import executor_text
+from flowscope.operators.joins import spread_join
 from flowscope.operators.numbering import pair_dimensions
 from flowscope.operators.rollup import place_pairs, place_slot_pairs
 from flowscope.schema import EXECUTOR, SLOT
@@ -125,6 +126,10 @@ def fits_load(load: Column, extra: Column, limit: Column) -> Column:
     return limit.isNull() | (limit < 0) | (load + extra <= limit)
 
 
+def _others(df: DataFrame, keys: list[str]) -> list[str]:
+    return [c for c in df.columns if c not in keys]
+
+
 def can_accept_slot(
     candidates: DataFrame, state: DataFrame, k: str = "k", extra: str = "x"
 ) -> DataFrame:
@@ -137,7 +142,7 @@ def can_accept_slot(
     )
     ok = (F.col("__places") >= F.col(k)) & fits_load(F.col("__load"), F.col(extra), F.col("__limit"))
     return (
-        candidates.join(places, SLOT)
+        spread_join(candidates, places, SLOT, _others(candidates, SLOT), "inner")
         .withColumn("can_accept", ok)
         .drop("__places", "__load", "__limit")
     )

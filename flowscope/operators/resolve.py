@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.operators.joins import spread_join
 from flowscope.schema import EXECUTOR
 
 # Wide ranges are first cut into cells of this many tasks, so that no row ever
@@ -51,9 +52,8 @@ def resolve_tasks(tasks: DataFrame, executors: DataFrame, task: str = "task") ->
 def resolve_edges(traffic: DataFrame, executors: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Both ends of every traffic edge: ``src_*`` and ``dst_*``, null where unresolved.
 
-    The joins run on (topology, task).  A task that takes part in very many
-    edges is split at run time by the adaptive skew join; the grouping that
-    usually follows is on other keys, so splitting costs no extra shuffle.
+    The joins run on (topology, task); a task that takes part in very many
+    edges is spread by the task at the other end.
     """
     keep = keep or []
     index = task_index(executors, keep)
@@ -67,8 +67,14 @@ def resolve_edges(traffic: DataFrame, executors: DataFrame, keep: list[str] | No
             *[F.col(c).alias(f"{prefix}_{c}") for c in keep],
         )
 
-    return traffic.join(side("src", "source_task"), ["topology_id", "source_task"], "left").join(
-        side("dst", "destination_task"), ["topology_id", "destination_task"], "left"
+    at_source = spread_join(
+        traffic, side("src", "source_task"), ["topology_id", "source_task"], ["destination_task"]
+    )
+    return spread_join(
+        at_source,
+        side("dst", "destination_task"),
+        ["topology_id", "destination_task"],
+        ["source_task"],
     )
 
 
@@ -83,14 +89,15 @@ def match_executors(measured: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def join_load_topology(load: DataFrame, topology: DataFrame) -> DataFrame:
-    return load.join(topology, "topology_id")
+    return spread_join(load, topology, ["topology_id"], ["begin_task", "end_task"], "inner")
 
 
 def join_load_node(load: DataFrame, node: DataFrame) -> DataFrame:
-    return load.join(node.withColumnRenamed("name", "node"), "node")
+    named = node.withColumnRenamed("name", "node")
+    return spread_join(load, named, ["node"], ["begin_task", "end_task"], "inner")
 
 
 def filter_topologies(df: DataFrame, topology: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the named topologies; all keys in one pass."""
+    """Load or placement rows of the named topologies; all keys in one pass."""
     wanted = topology.filter(F.col("topology_key").isin(keys)).select("topology_id", "topology_key")
-    return df.join(wanted, "topology_id")
+    return spread_join(df, wanted, ["topology_id"], ["begin_task", "end_task"], "inner")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.operators.joins import spread_join
 from flowscope.operators.resolve import is_resolved, resolve_edges
 from flowscope.schema import EXECUTOR, EXECUTOR_PAIR, SLOT
 
@@ -43,7 +44,7 @@ def executor_traffic(
     pairs = edges.groupBy(*EXECUTOR_PAIR).agg(F.sum("traffic").alias("traffic"))
     if complete_only:
         broken = pairs.filter(~is_resolved()).select("topology_id").distinct()
-        pairs = pairs.join(broken, "topology_id", "left_anti")
+        pairs = spread_join(pairs, broken, ["topology_id"], EXECUTOR_PAIR[1:], "left_anti")
     return pairs.filter(is_resolved())
 
 
@@ -91,9 +92,9 @@ def place_pairs(pairs: DataFrame, placement: DataFrame, column: str = "slot_id")
             F.col(column).alias(f"{prefix}_{column}"),
         )
 
-    return pairs.join(side("src"), ["topology_id", "src_begin", "src_end"], "left").join(
-        side("dst"), ["topology_id", "dst_begin", "dst_end"], "left"
-    )
+    src, dst = ["src_begin", "src_end"], ["dst_begin", "dst_end"]
+    at_source = spread_join(pairs, side("src"), ["topology_id", *src], dst)
+    return spread_join(at_source, side("dst"), ["topology_id", *dst], src)
 
 
 def slot_traffic(pairs: DataFrame, placement: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from flowscope.operators.choose import (
     least_loaded_slot,
     least_loaded_unused_node,
 )
+from flowscope.operators.joins import spread_join
 from flowscope.operators.placement import empty_slots, fits_load, node_limits
 from flowscope.operators.rollup import (
     inter_node_traffic,
@@ -199,8 +200,11 @@ def _score_pairs(
         )
 
     rows = attach_state(pairs.withColumn("place", F.explode("candidates")).drop("candidates"))
-    rows = rows.join(pull("first", "__a1"), ["topology_id", "first", "place"], "left").join(
-        pull("second", "__a2"), ["topology_id", "second", "place"], "left"
+    rows = spread_join(
+        rows, pull("first", "__a1"), ["topology_id", "first", "place"], ["second"]
+    )
+    rows = spread_join(
+        rows, pull("second", "__a2"), ["topology_id", "second", "place"], ["first"]
     )
 
     def at(n: int) -> Column:
@@ -294,7 +298,8 @@ def score_pair_placements(pairs: DataFrame, placement: DataFrame, state: DataFra
         _with_candidates(picked),
         affinity(pairs, placement).withColumnRenamed("slot_id", "place"),
         ["begin_task", "end_task"],
-        lambda rows: rows.join(
+        lambda rows: spread_join(
+            rows,
             state.select(
                 "topology_id",
                 F.col("slot_id").alias("place"),
@@ -303,11 +308,12 @@ def score_pair_placements(pairs: DataFrame, placement: DataFrame, state: DataFra
                 F.col("max_load").alias("place_limit"),
             ),
             ["topology_id", "place"],
-            "left",
+            ["first", "second"],
         ),
     )
     cut = slot_traffic_total(slot_traffic(pairs, placement))
-    return scored.join(cut, "topology_id", "left").select(
+    totalled = spread_join(scored, cut, ["topology_id"], ["first", "second"])
+    return totalled.select(
         "topology_id",
         F.col("first.begin_task").alias("first_begin"),
         F.col("first.end_task").alias("first_end"),
@@ -329,9 +335,8 @@ def _with_places(pairs: DataFrame, spots: DataFrame) -> DataFrame:
             F.col("load").alias(f"load_{n}"),
         )
 
-    return pairs.join(side("first", 1), ["topology_id", "first"]).join(
-        side("second", 2), ["topology_id", "second"]
-    )
+    one = spread_join(pairs, side("first", 1), ["topology_id", "first"], ["second"], "inner")
+    return spread_join(one, side("second", 2), ["topology_id", "second"], ["first"], "inner")
 
 
 def _with_candidates(picked: DataFrame) -> DataFrame:
