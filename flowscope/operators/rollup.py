@@ -41,11 +41,16 @@ def executor_traffic(
     whole: its statistics are still arriving.
     """
     edges = resolve_edges(traffic, executors)
-    pairs = edges.groupBy(*EXECUTOR_PAIR).agg(F.sum("traffic").alias("traffic"))
+    pairs = edges.groupBy(*EXECUTOR_PAIR).agg(
+        F.sum("traffic").alias("traffic"), F.bool_and(is_resolved()).alias("__resolved")
+    )
     if complete_only:
-        broken = pairs.filter(~is_resolved()).select("topology_id").distinct()
+        # Both filters are on sums, not on keys, and both need all of them: the
+        # shuffled partial sums stay the same on either side and are reused.
+        summed = F.col("traffic").isNotNull()
+        broken = pairs.filter(summed & ~F.col("__resolved")).select("topology_id").distinct()
         pairs = spread_join(pairs, broken, ["topology_id"], EXECUTOR_PAIR[1:], "left_anti")
-    return pairs.filter(is_resolved())
+    return pairs.filter("__resolved").drop("__resolved")
 
 
 def complete_topologies(traffic: DataFrame, executors: DataFrame) -> DataFrame:
