@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_TIMEOUTS = 256
+# One task sees this many timeouts of one topology in steps 1 and 3, and at most
+# one in this many of a topology's wanted evaluations in step 2.
+PIECE_TIMEOUTS = 64
 _NONE = np.iinfo(np.int64).min
 
 

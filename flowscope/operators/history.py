@@ -37,23 +37,24 @@ def assignment_map(snapshots: DataFrame, keys: Sequence[str] = ("snapshot",)) ->
     )
 
 
-def serialize_assignment(snapshots: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
-    """``(host:port e1, e2)`` of all slots in host and port order, as ``assignment``."""
+def serialize_hosts(snapshots: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
+    """``(host:port e1, e2)`` of the slots of each host in port order, as ``assignment``."""
     text = F.format_string("(%s:%d %s)", F.col("host"), F.col("port"), list_to_csv("executors"))
-    per_host = (
+    slots = F.array_sort(F.collect_list(F.struct("port", text.alias("text"))))
+    return (
         slot_contents(snapshots, keys)
-        .withColumn("__text", text)
         .groupBy(*keys, "host")
-        .agg(F.array_sort(F.collect_list(F.struct("port", "__text"))).alias("__slots"))
-        .withColumn("__host_text", F.array_join(F.transform("__slots", lambda s: s["__text"]), ""))
+        .agg(F.array_join(F.transform(slots, lambda s: s["text"]), "").alias("assignment"))
     )
+
+
+def serialize_assignment(snapshots: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
+    """The text of a whole snapshot, hosts in order: one row, as long as the cluster is big."""
+    hosts = F.array_sort(F.collect_list(F.struct("host", "assignment")))
     return (
-        per_host.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("host", "__host_text"))).alias("__hosts"))
-        .select(
-            *keys,
-            F.array_join(F.transform("__hosts", lambda h: h["__host_text"]), "").alias("assignment"),
-        )
+        serialize_hosts(snapshots, keys)
+        .groupBy(*keys)
+        .agg(F.array_join(F.transform(hosts, lambda h: h["assignment"]), "").alias("assignment"))
     )
 
 

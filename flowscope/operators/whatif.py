@@ -141,7 +141,13 @@ def best_move_to_empty(
     movers = (
         home_affinity(placement.select(*EXECUTOR, "load", "slot_id"), aff)
         .join(shared, SLOT, "left_semi")
-        .join(limits.select("topology_id", "max_load"), "topology_id")
+        .transform(
+            spread_join,
+            limits.select("topology_id", "max_load"),
+            ["topology_id"],
+            ["begin_task", "end_task"],
+            "inner",
+        )
         .filter(fits_load(_zero(), F.col("load"), F.col("max_load")))
     )
     best = movers.groupBy("topology_id").agg(
@@ -178,13 +184,20 @@ def _undirected(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _score_pairs(
+# The two places a pair holds now and one more.
+MAX_CANDIDATES = 3
+
+
+def _pair_table(
     pairs: DataFrame,
     aff: DataFrame,
     unit: Sequence[str],
     attach_state: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Change in cut and feasibility for both units of a pair on its candidate places.
+    """One row per pair with what its candidate places mean for it, as arrays by candidate.
+
+    ``a1`` and ``a2`` are the affinities of the two units without each other,
+    ``room``, ``load`` and ``limit`` those of the place without the two.
 
     ``pairs`` has ``topology_id``, ``first`` and ``second`` (structs of the
     ``unit`` columns), ``w``, their present places and loads ``place_1``,
@@ -199,7 +212,8 @@ def _score_pairs(
             "topology_id", F.struct(*unit).alias(which), "place", F.col("affinity").alias(name)
         )
 
-    rows = attach_state(pairs.withColumn("place", F.explode("candidates")).drop("candidates"))
+    keys = ["topology_id", "first", "second", "w", "place_1", "place_2", "load_1", "load_2", "candidates"]
+    rows = attach_state(pairs.select(*keys, F.posexplode("candidates").alias("__at", "place")))
     rows = spread_join(
         rows, pull("first", "__a1"), ["topology_id", "first", "place"], ["second"]
     )
@@ -207,84 +221,96 @@ def _score_pairs(
         rows, pull("second", "__a2"), ["topology_id", "second", "place"], ["first"]
     )
 
-    def at(n: int) -> Column:
+    def held(n: int) -> Column:
         return (F.col("place") == F.col(f"place_{n}")).cast("long")
 
     # The partner's share is taken out of the affinities; both units are lifted
     # off their places before the room is measured.
-    rows = rows.select(
-        "topology_id",
-        "first",
-        "second",
-        "w",
-        "place_1",
-        "place_2",
-        "load_1",
-        "load_2",
-        F.struct(
-            F.col("place"),
-            (F.coalesce("__a1", _zero()) - F.col("w") * at(2)).alias("a1"),
-            (F.coalesce("__a2", _zero()) - F.col("w") * at(1)).alias("a2"),
-            (F.col("places") + at(1) + at(2)).alias("places"),
-            (F.col("place_load") - F.col("load_1") * at(1) - F.col("load_2") * at(2)).alias("load"),
-            F.col("place_limit").alias("limit"),
-        ).alias("c"),
-    )
-    grouped = rows.groupBy(
-        "topology_id", "first", "second", "w", "place_1", "place_2", "load_1", "load_2"
-    ).agg(F.collect_list("c").alias("cs"))
+    measures = {
+        "a1": F.coalesce("__a1", _zero()) - F.col("w") * held(2),
+        "a2": F.coalesce("__a2", _zero()) - F.col("w") * held(1),
+        "room": F.col("places").cast("long") + held(1) + held(2),
+        "load": F.col("place_load") - F.col("load_1") * held(1) - F.col("load_2") * held(2),
+        "limit": F.col("place_limit"),
+        "home1": F.when(held(1) == 1, F.lit(1).cast("long")),
+        "home2": F.when(held(2) == 1, F.lit(1).cast("long")),
+    }
+    # One number per candidate and measure: plain hash aggregation, no lists.
+    spots = range(MAX_CANDIDATES)
+    wide = rows.withColumns({f"__{m}": c for m, c in measures.items()}).groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("__at") == i, F.col(f"__{m}"))).alias(f"__{m}_{i}")
+            for m in measures
+            for i in spots
+        ]
+    )
+
+    def at(measure: str, i: int) -> Column:
+        return F.col(f"__{measure}_{i}")
 
     def home(n: int) -> Column:
-        mine = F.filter("cs", lambda c: c["place"] == F.col(f"place_{n}"))
-        return F.get(mine, F.lit(0))[f"a{n}"]
-
-    now = grouped.withColumns({"__home_1": home(1), "__home_2": home(2)})
-    offered = F.filter("cs", lambda c: c["places"].isNotNull())
-    combined = F.flatten(
-        F.transform(
-            offered, lambda c: F.transform(offered, lambda d: F.struct(c.alias("c"), d.alias("d")))
-        )
+        return F.coalesce(*[F.when(at(f"home{n}", i) == 1, at(f"a{n}", i)) for i in spots])
+
+    return wide.select(
+        *keys,
+        *[F.array(*[at(m, i) for i in spots]).alias(m) for m in ("a1", "a2", "room", "load", "limit")],
+        (home(1) + home(2)).alias("home"),
+        (F.col("place_1") != F.col("place_2")).cast("long").alias("apart"),
     )
-    both = now.withColumn("__combo", F.explode(combined)).select(
-        "*", F.col("__combo.c").alias("c"), F.col("__combo.d").alias("d")
-    )
-    same = F.col("c.place") == F.col("d.place")
-    apart = F.when(same, F.lit(0)).otherwise(F.lit(1)) - F.when(
-        F.col("place_1") == F.col("place_2"), F.lit(0)
-    ).otherwise(F.lit(1))
-    together = F.col("load_1") + F.col("load_2")
-    first_ok = (F.col("c.places") >= 1) & fits_load(F.col("c.load"), F.col("load_1"), F.col("c.limit"))
-    second_ok = (
-        F.when(
-            same,
-            (F.col("d.places") >= 2) & fits_load(F.col("d.load"), together, F.col("d.limit")),
-        ).otherwise(
-            (F.col("d.places") >= 1) & fits_load(F.col("d.load"), F.col("load_2"), F.col("d.limit"))
-        )
+
+
+def _combination(i: Column, j: Column) -> dict[str, Column]:
+    """Both units of a pair table row on its i-th and j-th candidate; null if not on offer."""
+
+    def of(measure: str, which: Column) -> Column:
+        return F.get(measure, which)
+
+    same = i == j
+    first_ok = (of("room", i) >= 1) & fits_load(of("load", i), F.col("load_1"), of("limit", i))
+    second_ok = (of("room", j) >= F.when(same, 2).otherwise(1)) & fits_load(
+        of("load", j),
+        F.col("load_2") + F.when(same, F.col("load_1")).otherwise(_zero()),
+        of("limit", j),
     )
-    return both.select(
-        "topology_id",
-        "first",
-        "second",
-        F.col("c.place").alias("first_place"),
-        F.col("d.place").alias("second_place"),
-        (
-            F.col("__home_1")
-            - F.col("c.a1")
-            + F.col("__home_2")
-            - F.col("d.a2")
-            + F.col("w") * apart
-        ).alias("delta"),
-        (first_ok & second_ok).alias("feasible"),
+    apart = (~same).cast("long") - F.col("apart")
+    return {
+        "offered": of("room", i).isNotNull() & of("room", j).isNotNull(),
+        "first_place": of("candidates", i),
+        "second_place": of("candidates", j),
+        "delta": F.col("home") - of("a1", i) - of("a2", j) + F.col("w") * apart,
+        "feasible": first_ok & second_ok,
+    }
+
+
+def _every_combination(table: DataFrame) -> DataFrame:
+    """At most nine rows per pair."""
+    spots = range(MAX_CANDIDATES)
+    indexes = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in spots for j in spots]
+    )
+    c = _combination(F.col("__c.i"), F.col("__c.j"))
+    return (
+        table.withColumn("__c", F.explode(indexes))
+        .filter(c.pop("offered"))
+        .select("topology_id", "first", "second", *[v.alias(k) for k, v in c.items()])
     )
 
 
-def score_pair_placements(pairs: DataFrame, placement: DataFrame, state: DataFrame) -> DataFrame:
-    """Cut traffic of the topology for every placement of a pair on its candidate slots.
+def _best_combination(table: DataFrame) -> DataFrame:
+    """The feasible combination with the least delta, chosen inside the row."""
+    spots = range(MAX_CANDIDATES)
+    choices = []
+    for i in spots:
+        for j in spots:
+            c = _combination(F.lit(i), F.lit(j))
+            ranked = F.struct(*[c[k].alias(k) for k in ("delta", "first_place", "second_place")])
+            choices.append(F.when(c["offered"] & c["feasible"], ranked))
+    # A generator evaluates the choice once, where a filter would repeat it.
+    best = F.array_compact(F.array(F.least(*choices)))
+    return table.select("topology_id", "first", "second", F.inline(best))
 
-    Candidates are the slots that hold the two executors now and the least
-    loaded slot that takes the heavier one: at most nine rows per pair.
-    """
+
+def _executor_pair_table(pairs: DataFrame, placement: DataFrame, state: DataFrame) -> DataFrame:
     spots = placement.select(
         "topology_id",
         F.struct("begin_task", "end_task").alias("unit"),
@@ -294,23 +320,22 @@ def score_pair_placements(pairs: DataFrame, placement: DataFrame, state: DataFra
     placed = _with_places(_undirected(pairs), spots)
     asked = placed.withColumns({"k": F.lit(1), "x": F.greatest("load_1", "load_2")})
     picked = least_loaded_slot(asked, state, name="__pick").drop("k", "x")
-    scored = _score_pairs(
+    room = state.select(
+        "topology_id",
+        F.col("slot_id").alias("place"),
+        (F.col("max_executors") - F.col("executors")).alias("places"),
+        F.col("load").alias("place_load"),
+        F.col("max_load").alias("place_limit"),
+    )
+    return _pair_table(
         _with_candidates(picked),
         affinity(pairs, placement).withColumnRenamed("slot_id", "place"),
         ["begin_task", "end_task"],
-        lambda rows: spread_join(
-            rows,
-            state.select(
-                "topology_id",
-                F.col("slot_id").alias("place"),
-                (F.col("max_executors") - F.col("executors")).alias("places"),
-                F.col("load").alias("place_load"),
-                F.col("max_load").alias("place_limit"),
-            ),
-            ["topology_id", "place"],
-            ["first", "second"],
-        ),
+        lambda rows: spread_join(rows, room, ["topology_id", "place"], ["first", "second"]),
     )
+
+
+def _with_cut(scored: DataFrame, pairs: DataFrame, placement: DataFrame) -> DataFrame:
     cut = slot_traffic_total(slot_traffic(pairs, placement))
     totalled = spread_join(scored, cut, ["topology_id"], ["first", "second"])
     return totalled.select(
@@ -322,10 +347,29 @@ def score_pair_placements(pairs: DataFrame, placement: DataFrame, state: DataFra
         F.col("first_place").alias("first_slot"),
         F.col("second_place").alias("second_slot"),
         (F.coalesce("traffic", _zero()) + F.col("delta")).alias("cut"),
-        "feasible",
+        *[c for c in scored.columns if c == "feasible"],
     )
 
 
+def score_pair_placements(pairs: DataFrame, placement: DataFrame, state: DataFrame) -> DataFrame:
+    """Cut traffic of the topology for every placement of a pair on its candidate slots.
+
+    Candidates are the slots that hold the two executors now and the least
+    loaded slot that takes the heavier one: at most nine rows per pair.
+    """
+    table = _executor_pair_table(pairs, placement, state)
+    return _with_cut(_every_combination(table), pairs, placement)
+
+
+def best_pair_placement(pairs: DataFrame, placement: DataFrame, state: DataFrame) -> DataFrame:
+    """The feasible placement of each pair with the least cut traffic, ties by slots.
+
+    Pairs without a feasible placement have no row.
+    """
+    table = _executor_pair_table(pairs, placement, state)
+    return _with_cut(_best_combination(table), pairs, placement)
+
+
 def _with_places(pairs: DataFrame, spots: DataFrame) -> DataFrame:
     def side(which: str, n: int) -> DataFrame:
         return spots.select(
@@ -344,13 +388,6 @@ def _with_candidates(picked: DataFrame) -> DataFrame:
     return picked.withColumn("candidates", places).drop("__pick")
 
 
-def best_pair_placement(scored: DataFrame) -> DataFrame:
-    """The feasible placement of each pair with the least cut traffic."""
-    pair = ["topology_id", "first_begin", "first_end", "second_begin", "second_end"]
-    choice = F.min(F.struct("cut", "first_slot", "second_slot")).alias("__best")
-    return scored.filter("feasible").groupBy(*pair).agg(choice).select(*pair, "__best.*")
-
-
 def score_slot_moves(
     slots: DataFrame,
     slot_node: DataFrame,
@@ -421,20 +458,27 @@ def score_slot_pair_placements(
         )
         mine = on_node.select("topology_id", F.col("node").alias("place"), F.col("slots").alias("__mine"))
         left = F.col("max_slots") - F.coalesce("__mine", F.lit(0))
+        by = ["first", "second", "place_1", "place_2"]
         return (
-            rows.join(room, "place", "left")
-            .join(mine, ["topology_id", "place"], "left")
-            .join(limits.select("topology_id", "max_slots"), "topology_id")
+            rows.transform(spread_join, room, ["place"], by)
+            .transform(spread_join, mine, ["topology_id", "place"], by)
+            .transform(
+                spread_join,
+                limits.select("topology_id", "max_slots"),
+                ["topology_id"],
+                [*by, "place"],
+                "inner",
+            )
             .withColumn("places", F.least("__free", left))
         )
 
-    scored = _score_pairs(
+    table = _pair_table(
         _with_candidates(picked),
         slot_affinity(slots, slot_node).withColumnRenamed("node", "place"),
         ["slot_id"],
         attach,
     )
-    return scored.select(
+    return _every_combination(table).select(
         "topology_id",
         F.col("first.slot_id").alias("slot_a"),
         F.col("second.slot_id").alias("slot_b"),

@@ -339,9 +339,13 @@ class Bridge:
 
     # Shared intermediate results -----------------------------------------------
 
+    def derive_executor_traffic(self) -> DataFrame:
+        return executor_traffic(self.traffic, self.load)
+
     @cached_property
     def pairs(self) -> DataFrame:
-        return executor_traffic(self.traffic, self.load)
+        """Executor pairs, stored: every placement report starts from them, often twice."""
+        return self._stored("executor_traffic", self.derive_executor_traffic)
 
     @cached_property
     def slot_pairs(self) -> DataFrame:

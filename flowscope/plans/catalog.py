@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from flowscope.functions import params as P
 from flowscope.functions import text as X
 from flowscope.operators import choose, cooldown, history, placement, resolve, rollup, series, sets, whatif
+from flowscope.plans import reports
 from flowscope.plans.bridge import Bridge, evaluations_of, receipts_of, snapshot_rows
 from flowscope.runtime import scratch_path
 from flowscope.schema import EXECUTOR, SLOT
@@ -310,7 +311,7 @@ def _(b: Bridge) -> DataFrame:
 
 @query("executor_traffic")
 def _(b: Bridge) -> DataFrame:
-    return b.pairs
+    return b.derive_executor_traffic()
 
 
 def _without_some(b: Bridge) -> DataFrame:
@@ -505,7 +506,7 @@ def _(b: Bridge) -> DataFrame:
 
 @query("rank_executor_traffic")
 def _(b: Bridge) -> DataFrame:
-    return choose.rank_executor_traffic(b.pairs)
+    return choose.rank_executor_traffic(b.derive_executor_traffic())
 
 
 @query("min_nodes_needed")
@@ -529,7 +530,7 @@ def _(b: Bridge) -> DataFrame:
 
 @query("top_executor_pairs")
 def _(b: Bridge) -> DataFrame:
-    return choose.top_executor_pairs(b.pairs, 10)
+    return choose.top_executor_pairs(b.derive_executor_traffic(), 10)
 
 
 @query("slot_pairs_ranked")
@@ -800,13 +801,9 @@ def _(b: Bridge) -> DataFrame:
     return moves.withColumn("to_slot", F.coalesce("to_slot", F.lit(-1)))
 
 
-def _scored(b: Bridge) -> DataFrame:
-    return whatif.score_pair_placements(b.pairs, b.placement, b.state)
-
-
 @query("score_pair_placements")
 def _(b: Bridge) -> DataFrame:
-    return _scored(b)
+    return whatif.score_pair_placements(b.pairs, b.placement, b.state)
 
 
 @query("best_move_to_empty")
@@ -818,7 +815,7 @@ def _(b: Bridge) -> DataFrame:
 
 @query("best_pair_placement")
 def _(b: Bridge) -> DataFrame:
-    return whatif.best_pair_placement(_scored(b))
+    return whatif.best_pair_placement(b.pairs, b.placement, b.state)
 
 
 @query("score_slot_moves")
@@ -868,6 +865,34 @@ def _(b: Bridge) -> DataFrame:
     return fired.select("topology_key", "event_id", X.format_ts("eval_ts").alias("eval_ts"))
 
 
+# Reports --------------------------------------------------------------------------
+
+
+@query("monitoring_cycle")
+def _(b: Bridge) -> DataFrame:
+    topology = b.receipts.select("topology_key").distinct()
+    numbered = latest.register_topologies(b.topology, topology)
+    scaled = b.receipts.withColumn("destination_task", F.col("destination_task") % 5)
+    return reports.monitoring_cycle(scaled, numbered, "1 day", HISTORY, 1)
+
+
+@query("load_cycle")
+def _(b: Bridge) -> DataFrame:
+    return reports.load_cycle(b.cpu, b.thread_tasks, CLOCK_HZ, HISTORY, 7)
+
+
+@query("evaluation_summary")
+def _(b: Bridge) -> DataFrame:
+    return reports.evaluation_summary(
+        b.topology, b.live, b.traffic, b.load, b.placement, b.slot_node, b.node, b.params
+    )
+
+
+@query("tracked_assignment")
+def _(b: Bridge) -> DataFrame:
+    return reports.tracked_assignment(b.placement, b.placement, b.slot_node, b.topology)
+
+
 # Streams --------------------------------------------------------------------------
 #
 # Each query runs its stream to the present end of a file source and reads the

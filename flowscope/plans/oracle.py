@@ -939,6 +939,57 @@ select topology_key, eval_ts, event_id from fire join b_wanted using (topology_k
 QUERY_SQL["cooldown_alerts"] = """
 select topology_key, event_id, strftime(eval_ts, '%Y-%m-%d %H:%M:%S') eval_ts from b_fires"""
 
+# Reports -------------------------------------------------------------------------------------
+
+QUERY_SQL["monitoring_cycle"] = """
+with t as (
+  select topology_id, topology_key from b_topology
+  union all
+  select cast((select max(topology_id) from b_topology) + row_number() over (order by md5(k)) as int), k
+  from (select distinct event_type k from events where event_type not in (select topology_key from b_topology)) q
+), c as (
+  select topology_key, source_task, destination_task % 5 d, cast(ts as date) slot, count(*) n
+  from b_receipts group by 1, 2, 3, 4
+), r as (
+  select *, sum(n) over w // count(*) over w rate,
+         row_number() over (partition by topology_key, source_task, d order by slot desc) rn
+  from c window w as (partition by topology_key, source_task, d order by slot rows between 5 preceding and current row)
+)
+select topology_id, source_task, d destination_task, cast(rate as int) traffic
+from r join t using (topology_key) where rn = 1"""
+
+QUERY_SQL["load_cycle"] = """
+with r as (
+  select thread_id, cast(sum(cycles) over v // (count(*) over v * 7) as bigint) load,
+         row_number() over (partition by thread_id order by ts desc, event_id desc) rn
+  from b_cycles window v as (partition by thread_id order by ts, event_id rows between 5 preceding and current row)
+), e as (
+  select cast(source_task as bigint) thread_id, min(destination_task) begin_task, max(destination_task) end_task
+  from b_receipts group by 1
+)
+select thread_id, begin_task, end_task, load from r join e using (thread_id) where rn = 1"""
+
+QUERY_SQL["evaluation_summary"] = """
+select t.topology_id, t.topology_key, l.total_load, p.n is not null as complete, coalesce(p.n, 0) pairs,
+       coalesce(c.traffic, 0) cut, cast(coalesce(u.n, 0) as int) node_count,
+       cast(greatest(m.nodes_to_use - u.n, 0) as int) gap
+from b_topology t join b_live using (topology_key)
+left join (select topology_id, cast(sum(load) as bigint) total_load from b_load group by 1) l using (topology_id)
+left join (select topology_id, count(*) n from b_pairs group by 1) p using (topology_id)
+left join b_cut c using (topology_id)
+left join (select topology_id, count(distinct node) n from b_slot_node group by 1) u using (topology_id)
+left join b_limits m using (topology_id)"""
+
+QUERY_SQL["tracked_assignment"] = """
+select topology_key, host, string_agg(txt, '' order by port) assignment from (
+  select t.topology_key, n.node host, x.slot_id port,
+         '(' || n.node || ':' || x.slot_id || ' ' || string_agg(
+           x.component || '[' || x.begin_task || ',' || x.end_task || ']', ', '
+           order by x.component || '[' || x.begin_task || ',' || x.end_task || ']') || ')' txt
+  from b_exec_slot x join b_slot_node n using (topology_id, slot_id) join b_topology t using (topology_id)
+  group by 1, 2, 3) q
+group by 1, 2"""
+
 # Streams: what is closed when the watermark stands one hour before the last event.
 
 VIEWS["b_closed_counts"] = """
