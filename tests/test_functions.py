@@ -19,13 +19,13 @@ def one(df):
 def test_float_product_for_alfa_and_double_product_for_delta(rows):
     """ceil(0.1f * 10) is 1 in floats and 2 in doubles."""
     df = rows("executors int, slots int, alfa float, delta float", [(11, 1, 0.1, 0.1)])
-    # slots 1: lo 11, hi 11; widen to hi - lo = 10 with 11 executors on 11 - 10 ... slots 2
+    # One slot takes everything whatever alfa is.
     df2 = rows("executors int, slots int, alfa float", [(24, 3, 0.1)])
     assert one(df.select(P.max_executors_per_slot("executors", "slots", "alfa").alias("m"))).m == 11
     lo, hi = 8, 22
     expected = lo + math.ceil(float(np.float32(0.1) * np.float32(hi - lo)))
     assert one(df2.select(P.max_executors_per_slot("executors", "slots", "alfa").alias("m"))).m == expected
-    # 12 slots on 2 nodes (beta 0 -> lo): delta is widened before the product
+    # beta 0 uses the lower bound, here one node per slot.
     d = rows("n int, s int, beta float, delta float", [(1, 11, 0.0, 0.1)])
     got = one(
         d.select(
