@@ -30,29 +30,33 @@ def hierarchical_rank(
 ) -> DataFrame:
     """1-based rank within ``partition`` by ``levels`` (column, ascending), then ``tie_break``.
 
-    Rows are shuffled once, on the partition and all levels.  Every running
+    Partition and level columns are never null.  Rows are shuffled once, on the
+    partition and all levels.  Every running
     count is over the distinct values of one level inside its parent.  With
     whole-number traffic ``d`` distinct values need a total of ``d*d/2``, so a
     traffic level stays small however many rows share it.
     """
     prefix = [*partition, *(c for c, _ in levels)]
+    # The joins below imply non-null keys; with that said up front every branch
+    # scans alike and Spark computes the counts once.
+    df = df.filter(" and ".join(f"`{c}` is not null" for c in prefix))
     counts = df.groupBy(*prefix).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts
-    granularity = counts
-    for depth in range(len(levels) - 1, -1, -1):
-        keys = prefix[: len(partition) + depth + 1]
-        if depth < len(levels) - 1:
-            granularity = counts.groupBy(*keys).agg(F.sum("__n").alias("__n"))
-        parent = keys[:-1]
+
+    def with_before(granularity: DataFrame, depth: int) -> DataFrame:
+        parent = prefix[: len(partition) + depth]
         window = (
             Window.partitionBy(*parent)
             .orderBy(_ordered(*levels[depth]))
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        before = granularity.select(
-            *keys, F.coalesce(F.sum("__n").over(window), F.lit(0)).alias(f"__before{depth}")
-        )
-        offsets = offsets.join(before, keys)
+        before = F.coalesce(F.sum("__n").over(window), F.lit(0)).alias(f"__before{depth}")
+        return granularity.select(*prefix[: len(partition) + depth + 1], before)
+
+    offsets = with_before(counts, len(levels) - 1)
+    for depth in range(len(levels) - 1):
+        keys = prefix[: len(partition) + depth + 1]
+        coarser = counts.groupBy(*keys).agg(F.sum("__n").alias("__n"))
+        offsets = offsets.join(with_before(coarser, depth), keys)
     total = sum((F.col(f"__before{d}") for d in range(len(levels))), F.lit(0))
     offsets = offsets.select(*prefix, total.alias("__before"))
     inner = Window.partitionBy(*prefix).orderBy(*tie_break)
