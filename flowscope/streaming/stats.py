@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,33 +31,73 @@ def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame
     return rows if len(rows) == 1 else rows.sort_values(order, kind="stable")
 
 
-def stream_moving_rate(counts: DataFrame, slots: int, slot_length: int) -> DataFrame:
+PAIR = ["topology_key", "source_task", "destination_task"]
+
+
+def _rolling(rows: pd.DataFrame, slots: int, slot_length: int) -> pd.DataFrame:
+    """Rates of rows sorted by pair and slot, over the last ``slots`` rows of each pair."""
+    by_pair = rows.groupby(PAIR, sort=False)
+    present = np.minimum(by_pair.cumcount().to_numpy() + 1, slots)
+    running = np.concatenate([[0], rows["tuples"].to_numpy(np.int64).cumsum()])
+    upto = np.arange(1, len(rows) + 1)
+    total = running[upto] - running[upto - present]
+    return rows.assign(
+        rate=total // (present * slot_length), __left=by_pair.cumcount(ascending=False)
+    )
+
+
+def stream_moving_rate(
+    counts: DataFrame, slots: int, slot_length: int, buckets: int = 256
+) -> DataFrame:
     """Rate over the last ``slots`` present samples of each task pair.
 
-    State: those samples, and the newest slot so that late ones are ignored.
+    Pairs are hashed into ``buckets`` and the pairs of a bucket handled
+    together as arrays: a Python call per pair would cost far more than the
+    sums.  State of a bucket: the samples its pairs still need.  Choose about
+    one bucket per few thousand pairs; the number is fixed once a checkpoint
+    exists.  Samples not newer than a pair's newest one are ignored.
     """
-    keys = ["topology_key", "source_task", "destination_task"]
     output = (
         "topology_key string, source_task int, destination_task int, slot_start timestamp, rate long"
     )
+    columns = [*PAIR, "slot", "tuples"]
+    keep = max(slots - 1, 1)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        newest, recent = state.get if state.exists else (None, [])
-        recent = list(recent)
-        rows = _in_order(batches, ["slot_start"])
-        out = []
-        for at, tuples in zip(rows["slot_start"], rows["tuples"], strict=True):
-            micros = at.value // 1000
-            if newest is not None and micros <= newest:
-                continue
-            newest = micros
-            recent = [*recent, int(tuples)][-slots:]
-            out.append((*key, at, sum(recent) // (len(recent) * slot_length)))
-        state.update((newest, recent))
-        yield pd.DataFrame(out, columns=[*keys, "slot_start", "rate"])
-
-    return counts.groupBy(*keys).applyInPandasWithState(
-        step, output, "newest long, recent array<long>", "append", GroupStateTimeout.NoTimeout
+        fresh = pd.concat(list(batches), ignore_index=True)
+        fresh = fresh.assign(
+            slot=fresh["slot_start"].astype("datetime64[us]").astype("int64"), __new=True
+        )[[*columns, "__new"]]
+        old = pd.DataFrame(dict(zip(columns, state.get, strict=True))) if state.exists else None
+        if old is None or old.empty:
+            rows = fresh
+        else:
+            newest = old.groupby(PAIR)["slot"].max().rename("__newest").reset_index()
+            known = fresh.merge(newest, on=PAIR, how="left")
+            late = known["slot"] <= known["__newest"].fillna(np.iinfo("int64").min)
+            fresh = known[~late].drop(columns="__newest")
+            rows = pd.concat([old.assign(__new=False), fresh], ignore_index=True)
+        rated = _rolling(rows.sort_values([*PAIR, "slot"], ignore_index=True), slots, slot_length)
+        kept = rated[rated["__left"] < keep]
+        state.update(tuple(kept[c].tolist() for c in columns))
+        out = rated[rated["__new"].astype(bool)]
+        yield out.assign(slot_start=pd.to_datetime(out["slot"], unit="us"))[
+            [*PAIR, "slot_start", "rate"]
+        ]
+
+    bucket = F.pmod(F.xxhash64(*PAIR), F.lit(buckets)).cast("int")
+    samples = counts.select(*PAIR, "slot_start", F.col("tuples").cast("long").alias("tuples"))
+    return (
+        samples.withColumn("__bucket", bucket)
+        .groupBy("__bucket")
+        .applyInPandasWithState(
+            step,
+            output,
+            "topology_key array<string>, source_task array<int>, destination_task array<int>, "
+            "slot array<long>, tuples array<long>",
+            "append",
+            GroupStateTimeout.NoTimeout,
+        )
     )
 
 
