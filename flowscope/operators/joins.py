@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 SALTS = 8
 
@@ -27,6 +28,9 @@ def spread_join(
     already partitioned by an aggregation on the same keys.  A table that turns
     out small enough is broadcast by the optimizer as usual.
     """
+    by = [c for c in spread_by if not isinstance(rows.schema[c].dataType, MapType)]
+    if not by:  # nothing tells the rows of a key apart
+        return rows.join(table, list(keys), how)
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

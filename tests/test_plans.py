@@ -10,6 +10,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 
 from flowscope.operators import choose, rollup
+from flowscope.operators.joins import spread_join
 from flowscope.plans.catalog import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -118,3 +119,14 @@ def test_results_do_not_depend_on_partitioning(spark):
     one = rollup.executor_traffic(base, executors(spark))
     other = rollup.executor_traffic(base.repartition(7), executors(spark).repartition(3))
     assert as_set(one) == as_set(other)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
+def test_a_spread_join_is_a_join(spark, how):
+    rows = edges(spark, 500).withColumn("noise", F.create_map(F.lit("a"), F.col("traffic")))
+    table = spark.range(0, 40, 3).select(F.col("id").cast("int").alias("source_task"), F.lit("x").alias("v"))
+    columns = ["source_task", "destination_task", *(["v"] if how in ("inner", "left") else [])]
+    plain = rows.join(table, "source_task", how).select(*columns)
+    for spread_by in (["destination_task"], ["noise"], []):
+        spread = spread_join(rows, table, ["source_task"], spread_by, how).select(*columns)
+        assert sorted(map(tuple, spread.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
