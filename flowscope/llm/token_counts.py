@@ -2,9 +2,9 @@
 
 A byte-level BPE never merges across pre-tokens, so a text's token count is a sum over its
 pre-tokens, and each distinct pre-token needs to be tokenized once.  Texts are read once and
-become lists of pre-token numbers with frequencies, numbered within a chunk of documents;
-the chunks' vocabularies are joined to the piece counts of the distinct pre-tokens, and each
-chunk is summed with its own counts.  No ids of texts are ever built, no vocabulary is
+become lists of pre-token numbers with frequencies, numbered within a chunk of documents.
+The chunks' vocabularies meet by pre-token, each is tokenized once, and its piece count
+goes back to the chunks that have it, where it is joined to the documents' frequencies.  No ids of texts are ever built, no vocabulary is
 broadcast, and every group is bounded by the chunk size.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens.  The strings of special
@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +31,11 @@ from tokenizers import Tokenizer
 from flowscope.llm.hashing import in_blocks
 from flowscope.llm.tables import cut, only
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 64 << 20
+# More pre-tokens than a chunk can have.
+VOCABULARY_BITS = 27
+MAX_VOCABULARY = 1 << VOCABULARY_BITS
+_GAP, _MOST = 0xFFFF, 0xFF
 # How byte-level BPE splits texts before merging; fixed values of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Unicode White_Space.
@@ -64,6 +69,27 @@ def pre_tokens(run: str, tokenizer: Tokenizer) -> list[str]:
     return [run[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(run)]
 
 
+def packed(numbers: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted numbers as 16-bit gaps and their counts as bytes.
+
+    A gap of 65535 or more is that many fillers of 65535 first; a count above 255 repeats its number.
+    """
+    times = (counts + _MOST - 1) // _MOST
+    last = np.cumsum(times) - 1
+    small = np.full(int(times.sum()), _MOST, np.uint8)
+    small[last] = counts - (times - 1) * _MOST
+    gaps = np.diff(np.repeat(numbers.astype(np.int64), times), prepend=0)
+    steps = gaps // _GAP + 1
+    out = np.full(int(steps.sum()), _GAP, np.uint16)
+    out[np.cumsum(steps) - 1] = gaps % _GAP
+    return out.tobytes(), small.tobytes()
+
+
+def unpacked(gaps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.frombuffer(gaps, np.uint16).astype(np.int64)
+    return np.cumsum(steps)[steps != _GAP], np.frombuffer(counts, np.uint8).astype(np.int64)
+
+
 class Chunk:
     """Pre-tokens numbered in order of first sight, and each document's frequencies."""
 
@@ -83,7 +109,7 @@ class Chunk:
         return out
 
     def document(self, text: str) -> tuple[bytes, bytes, int]:
-        """Numbers, their frequencies, and the special strings found."""
+        """Packed numbers, their frequencies, and how many special strings were found."""
         specials = 0
         segments = [text]
         if self.special and self.special.search(text):
@@ -94,7 +120,7 @@ class Chunk:
             [known.get(run) or self._run(run) for segment in segments for run in _RUN.findall(segment)]
         )
         numbers, counts = np.unique(np.frombuffer(joined, np.int32), return_counts=True)
-        return numbers.tobytes(), counts.astype(np.int32).tobytes(), specials
+        return *packed(numbers, counts), specials
 
 
 CHUNK_SCHEMA = (
@@ -116,7 +142,7 @@ def _chunks(path: str, chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]],
                 first = [list(chunk.numbers), *[None] * (len(rows) - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([(TaskContext.get().partitionId() << 32) + made] * len(rows), pa.int64()),
+                        pa.array([(TaskContext.get().partitionId() << 12) + made] * len(rows), pa.int64()),
                         ids.slice(part.start, len(rows)),
                         pa.array(n_bytes, pa.int64()),
                         pa.array(specials, pa.int64()),
@@ -132,15 +158,23 @@ def _chunks(path: str, chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Tokens of each pre-token."""
+    """Each row's piece count; rows come sorted by token, so a token is tokenized once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, _ = load(path)
+        last, last_pieces = None, 0
         for batch in batches:
-            tokens = batch.column(0)
-            encoded = tokenizer.encode_batch_fast(tokens.to_pylist(), add_special_tokens=False)
-            pieces = pa.array([len(e) for e in encoded], pa.int32())
-            yield pa.RecordBatch.from_arrays([tokens, pieces], ["token", "pieces"])
+            tokens = batch.column(1)
+            runs = pc.run_end_encode(tokens)
+            distinct = runs.values.to_pylist()
+            known = int(bool(distinct) and distinct[0] == last)
+            encoded = tokenizer.encode_batch_fast(distinct[known:], add_special_tokens=False)
+            pieces = np.array([last_pieces] * known + [len(e) for e in encoded], np.int32)
+            if distinct:
+                last, last_pieces = distinct[-1], int(pieces[-1])
+            ends = runs.run_ends.to_numpy()
+            spread = np.repeat(pieces, np.diff(ends, prepend=0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spread)], ["of", "pieces"])
 
     return run
 
@@ -148,10 +182,11 @@ def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def _sum(rows: pa.Table, vocabulary: pa.Table) -> pa.Table:
     """Documents of a chunk with their sums over the chunk's piece counts."""
     pieces = np.zeros(len(vocabulary), np.int64)
-    pieces[vocabulary["number"].to_numpy()] = vocabulary["pieces"].to_numpy()
+    pieces[vocabulary["of"].to_numpy() & (MAX_VOCABULARY - 1)] = vocabulary["pieces"].to_numpy()
     totals = rows["specials"].to_numpy().copy()
     for i, (n, c) in enumerate(zip(rows["numbers"].to_pylist(), rows["counts"].to_pylist(), strict=True)):
-        totals[i] += pieces[np.frombuffer(n, np.int32)] @ np.frombuffer(c, np.int32).astype(np.int64)
+        numbers, counts = unpacked(n, c)
+        totals[i] += pieces[numbers] @ counts
     return pa.table({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": totals})
 
 
@@ -166,15 +201,16 @@ def token_counts(
     source = only(docs, doc_id=doc_id, text=text)
     id_type = source.schema["doc_id"].dataType.simpleString()
     # Written once: chunk numbers hold for what was written, and later steps start from it.
-    rows = cut(source.mapInArrow(_chunks(tokenizer, chunk_bytes), CHUNK_SCHEMA.format(id_type=id_type)), "chunks")
+    rows = cut(source.mapInArrow(_chunks(tokenizer, chunk_bytes), CHUNK_SCHEMA.format(id_type=id_type)), "chunks", "zstd")
+    # One number for chunk and place: the vocabularies are the bulk of what is shuffled.
     vocabulary = rows.filter("vocabulary is not null").select(
         "chunk", F.posexplode("vocabulary").alias("number", "token")
-    )
-    pieces = vocabulary.select("token").distinct().mapInArrow(_pieces(tokenizer), "token string, pieces int")
-    counted = vocabulary.join(pieces, "token").select(F.col("chunk").alias("of"), "number", "pieces")
+    ).select((F.col("chunk") * MAX_VOCABULARY + F.col("number")).alias("of"), "token")
+    by_token = vocabulary.repartition("token").sortWithinPartitions("token")
+    counted = by_token.mapInArrow(_pieces(tokenizer), "of long, pieces int")
     return (
         rows.drop("vocabulary")
         .groupBy("chunk")
-        .cogroup(counted.groupBy("of"))
+        .cogroup(counted.groupBy(F.shiftright("of", VOCABULARY_BITS).alias("chunk_of")))
         .applyInArrow(_sum, f"doc_id {id_type}, n_bytes long, n_tokens long")
     )
