@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowscope.llm import language_id
 from flowscope.llm.packing import packed_documents
 from flowscope.llm.quality_rules import MEASURES, quality_verdicts
-from flowscope.llm.tables import table
+from flowscope.llm.tables import learn_share, table
 from flowscope.llm.token_counts import token_counts
 
 
@@ -23,6 +24,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = learn_share(F.col("doc_id"), parts=4, held=2)
+    dictionaries = language_id.learn(docs, learned, order="doc_id")
+    # The id rides along as the key of the share; it is no input of a prediction.
+    judged = language_id.classify(docs, dictionaries)
+    return judged.select(
+        "doc_id", (~learned).alias("held_out"), "lang_pred", "score", "margin", "accepted"
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", *MEASURES, "base_failed", "kept")
@@ -31,6 +43,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 
