@@ -13,6 +13,22 @@ from flowscope.llm.packing import packed_documents
 from flowscope.llm.quality_rules import MEASURES, quality_verdicts
 from flowscope.llm.tables import learn_share, table
 from flowscope.llm.token_counts import token_counts
+from flowscope.llm.url_filter import judge_urls
+
+
+# The rules of the query: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op7_packing": op7_packing,
@@ -63,4 +80,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+URL_SQL = """
+with rules(host, path, verdict) as (values %s),
+cut as (
+    select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages
+),
+parts as (
+    select row_number() over () as row_id, page_id,
+        coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+    from cut
+)
+select p.page_id, p.host, p.path, r.host || r.path as rule, coalesce(r.verdict, 'allow') as verdict
+from parts p
+left join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+qualify row_number() over (partition by row_id order by length(r.host || r.path) desc, length(r.host) desc) = 1
+""" % ", ".join(map(str, URL_RULES))
+
+ORACLE: dict[str, str] = {"op1_url_filter": URL_SQL}
