@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowscope.llm import language_id, toxicity
 from flowscope.llm.decontamination import contaminations
 from flowscope.llm.packing import packed_documents
+from flowscope.llm.parity_join import near_duplicates
 from flowscope.llm.quality_rules import MEASURES, quality_verdicts
 from flowscope.llm.tables import learn_share, table
 from flowscope.llm.token_counts import token_counts
@@ -52,6 +53,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
+    "op4_ngram_join": op4_ngram_join,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
