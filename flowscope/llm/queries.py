@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope.llm import language_id, toxicity
+from flowscope.llm.chat_format import reply_order
 from flowscope.llm.decontamination import contaminations
+from flowscope.llm.license_scan import license_matches, notices
 from flowscope.llm.packing import packed_documents
 from flowscope.llm.parity_join import near_duplicates
 from flowscope.llm.quality_rules import MEASURES, quality_verdicts
@@ -57,6 +59,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(table(spark, sf_dir, "conversations"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"), notices(spark))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -87,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
+    "op5_chat_format": op5_chat_format,
+    "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
