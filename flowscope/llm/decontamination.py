@@ -87,7 +87,7 @@ def _seen(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in in_blocks([len(t) for t in texts], BLOCK):
                 hashes, begin = _tokens(texts[part])
-                if not len(hashes):
+                if not len(hashes) or not sizes:
                     continue
                 # Windows of the whole block at once; those across documents are put out below.
                 found, under = [], np.zeros(len(hashes) + 1, np.int64)
