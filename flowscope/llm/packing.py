@@ -30,8 +30,10 @@ from flowscope.llm.hashing import in_blocks
 from flowscope.llm.tables import cut, fresh, only
 
 SHARD_PIECES = 25_000
-BLOCK = 8 << 20
-KNOWN_RUNS = 800_000
+BLOCK = 4 << 20
+KNOWN_RUNS = 500_000
+# Runs encoded at a time: the library's results are much larger than the ids taken from them.
+ENCODED = 10_000
 UNDERFULL = 0.985
 # Blanks to str.split() that this library's \s leaves inside words.
 _SEPARATOR_CONTROLS = "\x1c\x1d\x1e\x1f"
@@ -58,8 +60,11 @@ class Ids:
             raise ValueError("this tokenizer's ids depend on white space")
 
     def _encode(self, runs: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        out = []
+        for at in range(0, len(runs), ENCODED):
+            encoded = self.tokenizer.encode_batch_fast(runs[at : at + ENCODED], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        return out
 
     def texts(self, block: list[str]) -> Iterator[bytes]:
         split = [[t] if any(c in t for c in _SEPARATOR_CONTROLS) else t.split() for t in block]
