@@ -176,8 +176,9 @@ def keep_quality(
     limits = limits or Limits()
     m = fresh(docs, "measures")
     hosts = host_verdicts(measured_documents(only(docs, text=text, host=host), "text", m), "host", m, limits)
+    # Stored, so that the optimizer knows how few there are before it chooses the join.
     rejected = hosts.filter("rejected").select(F.col("host").alias(h := fresh(docs, "rejected_host")))
+    rejected = cut(rejected, "rejected")
     fails = failures(column(m), limits)
     kept = measured_documents(docs, text, m).filter(~fails["too_short"] & ~fails["repetitive"])
-    # Rejected hosts are few; whatever their number, the optimizer picks the join by size.
     return kept.join(rejected, column(host) == column(h), "left_anti").select(*[column(c) for c in docs.columns])
