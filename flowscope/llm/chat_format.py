@@ -106,24 +106,27 @@ def _places(nodes: DataFrame) -> DataFrame:
     """conv_id, turn, thread, position from (conv_id, turn, reply_to): pointers doubled until all are at heads."""
     first = nodes.filter("reply_to is not null").groupBy("conv_id", "reply_to").agg(F.min("turn").alias("first"))
     told = nodes.join(first, ["conv_id", "reply_to"], "left")
-    carries_on = F.col("turn") == F.col("first")
+    carries_on = F.coalesce(F.col("turn") == F.col("first"), F.lit(False))
     at = cut(
         told.select(
             "conv_id", "turn", F.when(carries_on, F.col("reply_to")).otherwise(F.col("turn")).alias("thread"),
-            F.when(carries_on, 1).otherwise(0).cast("long").alias("position"),
+            carries_on.cast("long").alias("position"),
         ),
         "threads",
     )
+    done, open_ = at.filter("position = 0"), at.filter("position > 0")
     for _ in range(MAX_ROUNDS):
-        up = at.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("to"), F.col("position").alias("more"))
-        moved = at.join(up, ["conv_id", "thread"]).select(
-            "conv_id", "turn", F.col("to").alias("thread"), (F.col("position") + F.col("more")).alias("position"),
-            (F.col("more") > 0).alias("moved"),
-        )
+        if open_.isEmpty():
+            return done
+        every = done.unionByName(open_)
+        up = every.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("to"), F.col("position").alias("more"))
+        moved = open_.join(up, ["conv_id", "thread"]).select(
+            "conv_id", "turn", F.col("to").alias("thread"), (F.col("position") + F.col("more")).alias("position"), "more"
+        )
+        # Only what has not yet come to its head goes on.
         moved = cut(moved, "threads")
-        at = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            return at
+        done = done.unionByName(moved.filter("more = 0").drop("more"))
+        open_ = moved.filter("more > 0").drop("more")
     raise RuntimeError("threads did not settle")
 
 
