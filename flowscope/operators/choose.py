@@ -10,6 +10,7 @@ from flowscope.operators.numbering import hierarchical_rank, pair_dimensions
 from flowscope.operators.placement import fits_load
 
 BLOCK = 4096
+SPREAD = 64
 
 
 def rank_executor_traffic(pairs: DataFrame) -> DataFrame:
@@ -36,15 +37,19 @@ def rank_executor_traffic(pairs: DataFrame) -> DataFrame:
 def top_executor_pairs(pairs: DataFrame, k: int | None = None) -> DataFrame:
     """The ``k`` heaviest pairs of every topology; all of them without ``k``.
 
-    With ``k`` Spark limits each group before and after the shuffle, so at most
-    ``k`` rows per topology and partition move.
+    A topology is spread over ``SPREAD`` parts by its sources.  What is not among the ``k``
+    heaviest of its part is dropped there, and the rest is ranked: one plan for every
+    ``k``, and no task holds more of a topology than a part.
     """
     if k is None:
         return rank_executor_traffic(pairs)
-    window = Window.partitionBy("topology_id").orderBy(
-        F.desc("traffic"), "src_begin", "src_end", "dst_begin", "dst_end"
-    )
-    return pairs.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= k)
+    order = [F.desc("traffic"), "src_begin", "src_end", "dst_begin", "dst_end"]
+    part = F.pmod(F.xxhash64("src_begin", "dst_begin"), F.lit(SPREAD)).alias("__part")
+    window = Window.partitionBy("topology_id", "__part").orderBy(*order)
+    near = pairs.select("*", part).withColumn("__place", F.row_number().over(window))
+    near = near.filter(F.col("__place") <= k).drop("__place", "__part")
+    ranked = rank_executor_traffic(near).filter(F.col("position") <= k)
+    return ranked.withColumn("position", F.col("position").cast("int"))
 
 
 def slot_pairs_ranked(slots: DataFrame) -> DataFrame:

@@ -90,13 +90,17 @@ def home_affinity(placement: DataFrame, aff: DataFrame) -> DataFrame:
 
 
 def score_moves(
-    pairs: DataFrame, placement: DataFrame, candidates: DataFrame | None = None
+    pairs: DataFrame,
+    placement: DataFrame,
+    candidates: DataFrame | None = None,
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """Change in cut traffic if an executor moves: ``from_slot, to_slot, delta``.
 
     Slots an executor shares no traffic with all score alike, so they are one
     row per executor with a null ``to_slot``; every other slot has its own row.
-    With ``candidates`` (executor, ``to_slot``) exactly those moves are scored.
+    ``slots`` (``topology_id, slot_id``) tells which there are: without it other
+    slots are taken to exist.  With ``candidates`` (executor, ``to_slot``) exactly those moves are scored.
     """
     aff = affinity(pairs, placement)
     home = home_affinity(placement.select(*EXECUTOR, "slot_id"), aff).select(
@@ -116,6 +120,13 @@ def score_moves(
             F.lit(None).cast("int").alias("to_slot"),
             _zero().alias("__there"),
         )
+        if slots is not None:  # none is left for an executor that talks to all of them
+            peers = there.join(home.select(*EXECUTOR, "from_slot"), EXECUTOR)
+            peers = peers.filter("to_slot != from_slot").groupBy(*EXECUTOR).agg(F.count(F.lit(1)).alias("__peers"))
+            count = slots.groupBy("topology_id").agg(F.count_distinct("slot_id").alias("__slots"))
+            known = elsewhere.join(peers, EXECUTOR, "left").join(count, "topology_id")
+            left = F.col("__slots") - 1 - F.coalesce("__peers", F.lit(0))
+            elsewhere = known.filter(left > 0).drop("__peers", "__slots")
         moves = home.join(there, EXECUTOR).unionByName(elsewhere)
     return moves.filter(
         F.col("to_slot").isNull() | (F.col("to_slot") != F.col("from_slot"))

@@ -327,8 +327,7 @@ class Bridge:
 
     @cached_property
     def snapshot_topologies(self) -> DataFrame:
-        events = self.table("events").filter(F.col("event_id") % 3 == 0)
-        return events.select(
+        return self.table("events").select(
             F.col("ts").cast("date").alias("snapshot"),
             F.concat(F.lit("T"), (F.col("user_id") % 4).cast("string")).alias("topology_key"),
         ).distinct()
@@ -390,12 +389,13 @@ def receipts_of(events: DataFrame) -> DataFrame:
 
 
 def snapshot_rows(events: DataFrame) -> DataFrame:
-    """Assignment rows from event rows, batch or stream."""
-    return events.filter(F.col("event_id") % 3 == 0).select(
+    """Assignment rows from event rows, batch or stream; what is placed changes every other day."""
+    shift = _div(F.unix_date(F.col("ts").cast("date")), 2)
+    return events.select(
         "ts",
         F.col("event_type").alias("host"),
         (F.col("user_id") % 2).cast("int").alias("port"),
-        F.concat(F.lit("c"), (_div("event_id", 3) % 3).cast("string")).alias("executor"),
+        F.concat(F.lit("c"), ((F.col("event_id") % 3 + shift) % 5).cast("string")).alias("executor"),
     )
 
 

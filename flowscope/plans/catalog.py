@@ -106,7 +106,9 @@ def _(b: Bridge) -> DataFrame:
 @query("upsert_node")
 def _(b: Bridge) -> DataFrame:
     known = b.node.filter(F.col("name") < "NATION_2")
-    return latest.upsert_node(known, b.nation_speed)
+    first = b.nation_speed.withColumn("version", F.lit(0))
+    second = first.select("name", F.col("capacity") + 100, F.col("cores") + 1, F.lit(1))
+    return latest.upsert_node(known, first.union(second).union(first), ["version"])
 
 
 @query("register_topology")
@@ -797,7 +799,7 @@ def _(b: Bridge) -> DataFrame:
 @query("score_moves")
 def _(b: Bridge) -> DataFrame:
     """``to_slot`` -1 stands for every slot the executor shares no traffic with."""
-    moves = whatif.score_moves(b.pairs, b.placement)
+    moves = whatif.score_moves(b.pairs, b.placement, slots=b.state)
     return moves.withColumn("to_slot", F.coalesce("to_slot", F.lit(-1)))
 
 

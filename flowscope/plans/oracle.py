@@ -154,8 +154,8 @@ select host, cast(count(*) as int) cores, cast(sum(speed_hz) as bigint) total_hz
 
 VIEWS["b_snapshot"] = """
 select distinct cast(ts as date) snapshot, event_type host, cast(user_id % 2 as int) port,
-       'c' || ((event_id // 3) % 3) executor
-from events where event_id % 3 = 0"""
+       'c' || ((event_id % 3 + date_diff('day', date '1970-01-01', cast(ts as date)) // 2) % 5) executor
+from events"""
 
 VIEWS["b_slot_text"] = """
 select snapshot, host, port, string_agg(executor, ', ' order by executor) executors
@@ -270,7 +270,7 @@ QUERY_SQL["sink_assignment_append"] = """
 select strftime(snapshot, '%Y-%m-%d') || ' 00:00:00' as time, t.topologies, assignment
 from b_changes join b_snapshot_text using (snapshot)
 join (select snapshot, string_agg(k, ', ' order by k) topologies
-      from (select distinct cast(ts as date) snapshot, 'T' || (user_id % 4) k from events where event_id % 3 = 0) q
+      from (select distinct cast(ts as date) snapshot, 'T' || (user_id % 4) k from events) q
       group by 1) t using (snapshot)"""
 
 QUERY_SQL["upsert_load"] = """
@@ -290,7 +290,7 @@ incoming as (
   select n.n_name as name, cast(sum(total_hz) as bigint) // 100 * 80 capacity, cast(sum(cores) as int) cores
   from b_hosts join supplier on s_name = host join nation n on n.n_nationkey = s_nationkey group by 1
 )
-select coalesce(k.name, i.name) as name, coalesce(i.capacity, k.capacity) capacity, coalesce(k.cores, i.cores) cores
+select coalesce(k.name, i.name) as name, coalesce(i.capacity + 100, k.capacity) capacity, coalesce(k.cores, i.cores) cores
 from known k full join incoming i on i.name = k.name"""
 
 QUERY_SQL["register_topology"] = """
@@ -745,7 +745,10 @@ with home as (
 select h.topology_id, h.begin_task, h.end_task, h.from_slot, a.slot_id to_slot, h.h - a.affinity delta
 from home h join b_affinity a using (topology_id, begin_task, end_task) where a.slot_id <> h.from_slot
 union all
-select topology_id, begin_task, end_task, from_slot, -1, h from home"""
+select topology_id, begin_task, end_task, from_slot, -1, h from home
+where (select count(*) from b_state s where s.topology_id = home.topology_id) > 1 + (
+  select count(*) from b_affinity a where a.topology_id = home.topology_id and a.begin_task = home.begin_task
+    and a.end_task = home.end_task and a.slot_id <> home.from_slot)"""
 
 # Recomputes the whole cut for every move: slow, so only used where few moves exist.
 QUERY_SQL["best_move_to_empty"] = """

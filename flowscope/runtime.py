@@ -23,6 +23,9 @@ RECOMMENDED_CONF = {
 }
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -38,9 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="flowscope-")
 
 
+def application_root(spark: SparkSession) -> str:
+    """One folder an application below the shared one; removed when the driver ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _ROOTS:
+        root = f"{shared_dir(spark)}/flowscope-{application}-{uuid.uuid4().hex[:8]}"
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS[application] = root
+    return _ROOTS[application]
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{application_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 _STORED: dict[tuple[str, str], str] = {}

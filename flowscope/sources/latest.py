@@ -32,10 +32,16 @@ def latest_traffic(log: DataFrame, version: Sequence[str] = ("version",)) -> Dat
     return latest(log, TRAFFIC_KEY, version)
 
 
-def upsert_node(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Node registration: a known node takes the new capacity and keeps its cores."""
-    new = incoming.select(
-        "name", F.col("capacity").alias("__capacity"), F.col("cores").alias("__cores")
+def upsert_node(current: DataFrame, incoming: DataFrame, version: Sequence[str] = ()) -> DataFrame:
+    """Node registration: a known node takes the newest capacity and keeps its cores.
+
+    A node may register many times, once for each of its workers: the oldest registration of
+    a new node gives its cores.  ``version`` columns order them; without any, and among
+    equal versions, the order is that of (capacity, cores).
+    """
+    order = F.struct(*version, "capacity", "cores")
+    new = incoming.groupBy("name").agg(
+        F.max_by("capacity", order).alias("__capacity"), F.min_by("cores", order).alias("__cores")
     )
     return current.join(new, "name", "full").select(
         "name",

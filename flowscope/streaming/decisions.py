@@ -21,14 +21,12 @@ def stream_cooldown_alerts(evaluations: DataFrame) -> DataFrame:
         last = pd.Timestamp(state.get[0] * 1000) if state.exists else None
         rows = pd.concat(list(batches), ignore_index=True)
         rows = rows.sort_values(["eval_ts", "event_id"]).reset_index(drop=True)
-        times = rows["eval_ts"]
-        wait = pd.Timedelta(seconds=int(rows["timeout_s"].iloc[0]))
-        at = 0 if last is None else int(times.searchsorted(last + wait, side="left"))
+        waits = pd.to_timedelta(rows["timeout_s"], unit="s")
         fired = []
-        while at < len(rows):
-            fired.append(at)
-            last = times.iloc[at]
-            at = int(times.searchsorted(last + wait, side="left"))
+        for at, (time, wait) in enumerate(zip(rows["eval_ts"], waits, strict=True)):
+            if last is None or (time > last and time >= last + wait):
+                fired.append(at)
+                last = time
         if last is not None:
             state.update((last.value // 1000,))
         yield rows.iloc[fired][["topology_key", "eval_ts", "event_id"]]

@@ -69,6 +69,10 @@ def test_node_registration(rows):
     known = rows(schema, [("a", 10, 2), ("b", 20, 4)])
     incoming = rows(schema, [("a", 11, 9), ("c", 30, 6)])
     assert as_set(latest.upsert_node(known, incoming)) == {("a", 11, 2), ("b", 20, 4), ("c", 30, 6)}
+    again = incoming.selectExpr("name", "capacity", "cores", "1 as v").unionByName(
+        incoming.selectExpr("name", "capacity + 5 as capacity", "cores + 1 as cores", "2 as v")
+    )
+    assert as_set(latest.upsert_node(known, again, ["v"])) == {("a", 16, 2), ("b", 20, 4), ("c", 35, 6)}
 
 
 def test_registered_ids_are_stable(rows):

@@ -116,11 +116,11 @@ def expected_fires(data):
 
 def test_cooldown_equals_the_sequential_rule(spark):
     rng = random.Random(7)
-    for timeout, gap, piece in ((60, 40, 2), (60, 900, 3), (1, 1, 5), (100, 3, 1)):
+    for timeout, gap, piece in ((60, 40, 120), (60, 900, 7), (1, 1, 5), (100, 3, 100)):
         data, clock = [], DAY0
         for i in range(400):
             clock += dt.timedelta(milliseconds=rng.randrange(gap * 1000))
-            data.append((rng.choice("ab"), clock, i, rng.random() < 0.8, timeout))
+            data.append((rng.choice("ab"), clock, i, rng.random() < 0.8, rng.choice([timeout, 3 * timeout, timeout // 2])))
         fired = cooldown.cooldown_alerts(spark.createDataFrame(data, EVALS), piece)
         assert as_set(fired, "topology_key", "event_id") == expected_fires(data)
 
@@ -130,3 +130,9 @@ def test_cooldown_boundary(rows):
     data = [("a", DAY0 + dt.timedelta(seconds=s), i, True, 180) for i, s in enumerate(at)]
     fired = cooldown.cooldown_alerts(rows(EVALS, data))
     assert as_set(fired, "event_id") == {(0,), (2,), (4,)}
+
+
+def test_each_evaluation_waits_for_its_own_timeout(rows):
+    timeouts = [10, 20, 10, 5]
+    data = [("a", DAY0 + dt.timedelta(seconds=10 * i), i, True, t) for i, t in enumerate(timeouts)]
+    assert as_set(cooldown.cooldown_alerts(rows(EVALS, data)), "event_id") == {(0,), (2,), (3,)}

@@ -99,10 +99,10 @@ def test_alerts(spark, tmp_path):
     clock, rows = DAY0, []
     for i in range(300):
         clock += dt.timedelta(seconds=rng.randrange(40))
-        rows.append((rng.choice("ab"), clock, i, rng.random() < 0.7, 90))
+        rows.append((rng.choice("ab"), clock, i, rng.random() < 0.7, rng.choice([90, 300])))
     source = feed(spark, tmp_path, schema, [rows[:100], rows[100:150], rows[150:]])
     got = landed(spark, decisions.stream_cooldown_alerts(source), tmp_path, "alerts")
-    twin = cooldown.cooldown_alerts(spark.createDataFrame(rows, schema), 3)
+    twin = cooldown.cooldown_alerts(spark.createDataFrame(rows, schema), 300)
     assert as_set(got, "event_id") == as_set(twin, "event_id")
 
 
