@@ -122,4 +122,65 @@ left join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and s
 qualify row_number() over (partition by row_id order by length(r.host || r.path) desc, length(r.host) desc) = 1
 """ % ", ".join(map(str, URL_RULES))
 
-ORACLE: dict[str, str] = {"op1_url_filter": URL_SQL}
+_RULES = {
+    "too_short": "n_words < 10",
+    "repetitive": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "100 * n_symbols > 50 * n_words",
+    "dup_lines": "100 * n_dup_lines > 50 * n_lines",
+}
+
+
+def _quality_sql() -> str:
+    """The host-level quality rules in SQL."""
+    rules = list(_RULES)
+    flags = ", ".join(f"{test} as {r}" for r, test in _RULES.items())
+    counts = ", ".join(f"count(*) filter ({r}) as k_{r}" for r in rules)
+    sums = ", ".join(f"sum(k_{r}) / sum(n) as p_{r}, sum(k_{r} * k_{r} / n) / sum(n) as s_{r}" for r in rules)
+    rho = ", ".join(
+        f"""case when p_{r} > 0 and p_{r} < 1 and share < 1
+        then ((s_{r} - p_{r} * p_{r}) / (p_{r} * (1 - p_{r})) - share) / (1 - share) else 0 end as rho_{r}"""
+        for r in rules
+    )
+    strength = ", ".join(f"1 / greatest(least(rho_{r}, 0.5), 1 / 1000001.0) - 1 as m_{r}" for r in rules)
+    bad = " or ".join(f"(k_{r} + p_{r} * m_{r}) / (n + m_{r}) > 0.8" for r in rules)
+    return f"""
+with d as (
+    select row_number() over () as row_id, doc_id, coalesce(text, '') as t, coalesce(source, '') as host from documents
+),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws from d),
+grams as (
+    select row_id, i, array_to_string(ws[i:i + 4], ' ') as gram
+    from (select row_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)
+),
+twice as (select row_id, i from grams qualify count(*) over (partition by row_id, gram) > 1),
+repeated as (
+    select row_id, count(distinct word) as n from (select row_id, unnest(range(i, i + 5)) as word from twice) group by row_id
+),
+lines as (
+    select row_id, line, row_number() over (partition by row_id, line) as k
+    from (select row_id, unnest(string_split(t, chr(10))) as line from d)
+),
+dup as (
+    select row_id, count(*) as n from lines where k > 1 and regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by row_id
+),
+m as (
+    select w.row_id, doc_id, host, cast(len(ws) as bigint) as n_words,
+        cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
+        cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols,
+        cast(coalesce(dup.n, 0) as bigint) as n_dup_lines, cast(coalesce(repeated.n, 0) as bigint) as n_repeat_words,
+        len(string_split(t, chr(10))) as n_lines
+    from w left join repeated using (row_id) left join dup using (row_id)
+),
+judged as (select *, {flags} from m),
+hosts as (select host, count(*) as n, {counts} from judged group by host),
+totals as (select count(*) / sum(n) as share, {sums} from hosts),
+rhos as (select *, {rho} from totals),
+prior as (select *, {strength} from rhos),
+rejected as (select host from hosts, prior where host <> '' and ({bad}))
+select doc_id, {", ".join(MEASURES)}, too_short or repetitive as base_failed,
+    not (too_short or repetitive) and host not in (select host from rejected) as kept
+from judged
+"""
+
+
+ORACLE: dict[str, str] = {"op1_url_filter": URL_SQL, "op9_quality_rules": _quality_sql()}
