@@ -16,16 +16,18 @@ from flowscope.llm import decontamination, parity_join, toxicity
 from flowscope.llm.packing import packed_documents
 from flowscope.llm.quality_rules import keep_quality
 from flowscope.llm.queries import TOXIC_FROM
-from flowscope.llm.tables import cut, table
+from flowscope.llm.tables import cut, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and come from a host that passes."""
+    small_batches(spark)
     return keep_quality(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; the model is learned from the labelled ones among ``docs``."""
+    small_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     score = toxicity.score_of(model)(F.col("text"))["score"]
     return docs.filter(score < TOXIC_FROM)
@@ -33,16 +35,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id; documents without words stay."""
+    small_batches(spark)
     return parity_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    small_batches(spark)
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in which sequence."""
+    small_batches(spark)
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.llm.hashing import NOT_ALNUM, documents_words, in_blocks, windows
-from flowscope.llm.tables import column, cut, fresh, only
+from flowscope.llm.tables import column, cut, fresh, lean, only
 
 MATCH = 5
 COVERAGE = 0.6
@@ -207,7 +207,7 @@ def contaminations(
     item_type = items.schema["item_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(seed_filter(items))
     seen = source.mapInArrow(
-        _seen(shared), f"doc_id {id_type}, text_hash long, seeds array<long>, doc_tokens binary, places binary"
+        lean(_seen(shared)), f"doc_id {id_type}, text_hash long, seeds array<long>, doc_tokens binary, places binary"
     )
     seen = cut(seen.withColumn("row", F.xxhash64("doc_id", "text_hash")), "seen")
     by_seed = items.select("item", "size", F.size("seeds").alias("n_seeds"), (F.length("item_tokens") / 8).alias("words"), F.explode("seeds").alias("seed"))

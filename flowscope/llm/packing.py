@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowscope.llm.hashing import in_blocks
-from flowscope.llm.tables import cut, fresh, only
+from flowscope.llm.tables import cut, fresh, lean, only
 
 SHARD_PIECES = 25_000
 BLOCK = 4 << 20
-KNOWN_RUNS = 500_000
+KNOWN_RUNS = 400_000
 # Runs encoded at a time: the library's results are much larger than the ids taken from them.
 ENCODED = 10_000
 UNDERFULL = 0.985
@@ -130,7 +130,7 @@ def tokenized_pieces(
     source = only(docs, doc_id=doc_id, text=text)
     id_type = source.schema["doc_id"].dataType.simpleString()
     schema = PIECES.format(id_type=id_type, ids=", ids array<int>" if with_ids else "")
-    return source.mapInArrow(_pieces(tokenizer, length, end_id, with_ids), schema)
+    return source.mapInArrow(lean(_pieces(tokenizer, length, end_id, with_ids)), schema)
 
 
 def best_fit(sizes: list[int], length: int) -> list[list[int]]:

@@ -12,6 +12,7 @@ empty result.  Further columns pass through untouched, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from flowscope.llm.hashing import BLANK, documents_words, in_blocks, windows
-from flowscope.llm.tables import column, cut, fresh, only
+from flowscope.llm.tables import column, cut, fresh, lean, only
 from flowscope.operators.joins import spread_join
 
 SYMBOLS = "#*$%&|<>"
@@ -92,6 +93,14 @@ def measures(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
+def _every(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return map(measures, batches)
+
+
+def _lean_measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from lean(_every)(batches)
+
+
 def failures(m: Column, limits: Limits) -> dict[str, Column]:
     """Each rule's failure, from the struct of ``measures``."""
     return {
@@ -146,7 +155,7 @@ def host_verdicts(measured: DataFrame, host: str, m: str, limits: Limits) -> Dat
 def measured_documents(docs: DataFrame, text: str, name: str) -> DataFrame:
     """``docs`` with the struct of measures in a column ``name``."""
     # Called once a row: a deterministic function would be evaluated again for each later filter.
-    measure = arrow_udf(measures, ", ".join(f"{m} long" for m in (*MEASURES, "n_lines"))).asNondeterministic()
+    measure = arrow_udf(_lean_measures, ", ".join(f"{m} long" for m in (*MEASURES, "n_lines"))).asNondeterministic()
     return docs.withColumn(name, measure(column(text)))
 
 

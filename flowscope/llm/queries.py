@@ -15,7 +15,7 @@ from flowscope.llm.license_scan import license_matches, notices
 from flowscope.llm.packing import packed_documents
 from flowscope.llm.parity_join import near_duplicates
 from flowscope.llm.quality_rules import MEASURES, quality_verdicts
-from flowscope.llm.tables import learn_share, table
+from flowscope.llm.tables import learn_share, small_batches, table
 from flowscope.llm.token_counts import token_counts
 from flowscope.llm.url_filter import judge_urls
 
@@ -36,15 +36,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    counts = token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
 TOXIC_FROM = 0.7
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), lambda i: learn_share(i, parts=3, held=1))
     return toxicity.toxicity(docs, model).select(
         "doc_id",
@@ -56,7 +61,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,15 +69,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_matches(table(spark, sf_dir, "documents"), notices(spark))
+    return license_matches(documents(spark, sf_dir), notices(spark))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     learned = learn_share(F.col("doc_id"), parts=4, held=2)
     dictionaries = language_id.learn(docs, learned, order="doc_id")
     # The id rides along as the key of the share; it is no input of a prediction.
@@ -83,12 +88,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
+    verdicts = quality_verdicts(documents(spark, sf_dir))
     return verdicts.select("doc_id", *MEASURES, "base_failed", "kept")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hits = contaminations(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowscope.llm.hashing import in_blocks
-from flowscope.llm.tables import cut, only
+from flowscope.llm.tables import cut, lean, only
 
 CHUNK_BYTES = 64 << 20
 # More pre-tokens than a chunk can have.
@@ -132,27 +132,36 @@ def _chunks(path: str, chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]],
     """Rows of documents by chunk; the chunk's first row also has its vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
+        made = size = 0
+        chunk, ids, rows = Chunk(path), [], []
+
+        def finished() -> pa.RecordBatch:
+            n_bytes, numbers, counts, specials = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(TaskContext.get().partitionId() << 12) + made] * len(rows), pa.int64()),
+                    pa.concat_arrays(ids),
+                    pa.array(n_bytes, pa.int64()),
+                    pa.array(specials, pa.int64()),
+                    pa.array(numbers, pa.binary()),
+                    pa.array(counts, pa.binary()),
+                    pa.array([list(chunk.numbers), *[None] * (len(rows) - 1)], pa.list_(pa.string())),
+                ],
+                ["chunk", "doc_id", "n_bytes", "specials", "numbers", "counts", "vocabulary"],
+            )
+
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in in_blocks([len(t) for t in texts], chunk_bytes):
-                chunk = Chunk(path)
-                rows = [(len(t.encode()), *chunk.document(t)) for t in texts[part]]
-                n_bytes, numbers, counts, specials = zip(*rows, strict=True)
-                first = [list(chunk.numbers), *[None] * (len(rows) - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([(TaskContext.get().partitionId() << 12) + made] * len(rows), pa.int64()),
-                        ids.slice(part.start, len(rows)),
-                        pa.array(n_bytes, pa.int64()),
-                        pa.array(specials, pa.int64()),
-                        pa.array(numbers, pa.binary()),
-                        pa.array(counts, pa.binary()),
-                        pa.array(first, pa.list_(pa.string())),
-                    ],
-                    ["chunk", "doc_id", "n_bytes", "specials", "numbers", "counts", "vocabulary"],
-                )
-                made += 1
+                rows += [(len(t.encode()), *chunk.document(t)) for t in texts[part]]
+                ids.append(batch.column(0).slice(part.start, part.stop - part.start))
+                size += sum(map(len, texts[part]))
+                if size >= chunk_bytes:
+                    yield finished()
+                    made += 1
+                    size, chunk, ids, rows = 0, Chunk(path), [], []
+        if rows:
+            yield finished()
 
     return run
 
@@ -201,7 +210,7 @@ def token_counts(
     source = only(docs, doc_id=doc_id, text=text)
     id_type = source.schema["doc_id"].dataType.simpleString()
     # Written once: chunk numbers hold for what was written, and later steps start from it.
-    rows = cut(source.mapInArrow(_chunks(tokenizer, chunk_bytes), CHUNK_SCHEMA.format(id_type=id_type)), "chunks", "zstd")
+    rows = cut(source.mapInArrow(lean(_chunks(tokenizer, chunk_bytes)), CHUNK_SCHEMA.format(id_type=id_type)), "chunks", "zstd")
     # One number for chunk and place: the vocabularies are the bulk of what is shuffled.
     vocabulary = rows.filter("vocabulary is not null").select(
         "chunk", F.posexplode("vocabulary").alias("number", "token")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from flowscope.llm.tables import cut, only
+from flowscope.llm.tables import cut, lean, only
 
 # The sample a model is fitted on: at most so many documents of each label.
 SAMPLE_PER_LABEL = 8000
@@ -143,7 +143,7 @@ def _counted(rows: DataFrame, items: Callable[[str | None], Iterable[str]]) -> D
                 ["item", "toxic", "clean"],
             )
 
-    one = rows.mapInArrow(run, "item string, toxic long, clean long")
+    one = rows.mapInArrow(lean(run), "item string, toxic long, clean long")
     return one.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -248,7 +248,7 @@ def _struct_udf(model: Model, what: str, names: dict[str, pa.DataType], ddl: str
             arrays = [pa.array(c, t) for c, t in zip(columns, names.values(), strict=True)]
             yield pa.StructArray.from_arrays(arrays, list(names))
 
-    return arrow_udf(run, ddl).asNondeterministic()
+    return arrow_udf(lean(run), ddl).asNondeterministic()
 
 
 def _features_of(model: Model) -> Callable[[Column], Column]:
