@@ -19,11 +19,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from flowscope.llm.tables import only
+from flowscope.llm.tables import only, sampled
 
 UNKNOWN = "und"
 # What a language's dictionary is cut from: at most so many documents, and so many characters each.
@@ -66,13 +66,10 @@ def learn(
     hashed = picked.select(
         "lang", F.xxhash64("by").alias("h"), F.substring("text", start, F.lit(DOCUMENT_CHARS)).alias("stretch")
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "stretch"))
-    sample = hashed.withColumn("rank", rank).filter(F.col("rank") <= min(documents, SAMPLE_DOCUMENTS))
+    sample = sampled(hashed, "lang", "h", min(documents, SAMPLE_DOCUMENTS), MAX_LANGUAGES)
     dictionaries: dict[str, list[str]] = {}
-    for row in sample.limit(MAX_LANGUAGES * SAMPLE_DOCUMENTS + 1).sort("lang", "rank").collect():
+    for row in sample.sort("lang", "h", "stretch").collect():  # bounded by languages and documents
         dictionaries.setdefault(row["lang"], []).append(row["stretch"])
-    if len(dictionaries) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: their dictionaries would not fit a task")
     return {k: b"".join(map(_words, v)) for k, v in dictionaries.items()}
 
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowscope.runtime import scratch_path
@@ -79,3 +79,22 @@ def learn_share(id_column: Column, parts: int, held: int) -> Column:
     """
     text = F.coalesce(id_column.cast("string"), F.lit(""))
     return F.crc32(text.cast("binary")) % parts != held
+
+
+def sampled(rows: DataFrame, by: str, order: str, n: int, groups: int) -> DataFrame:
+    """``n`` rows of each value of ``by``, those whose ``order`` (a hash) ends in the smallest numbers.
+
+    A share that leaves about four times as many is taken first, so that no group, however
+    large, is sorted as a whole.  There may be ``groups`` values of ``by`` at most.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(by).count().limit(groups + 1).collect()}
+    if len(counts) > groups:
+        raise ValueError(f"more than {groups} values of {by}")
+    if not counts:
+        return rows.limit(0)
+    tail = F.pmod(F.col(order), F.lit(1 << 30))
+    limits = [x for k, c in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, (4 * n + 64) / c) * (1 << 30))))]
+    near = rows.filter(tail < F.create_map(*limits)[F.col(by)])
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(tail, *rows.columns))
+    name = fresh(rows, "rank")
+    return near.withColumn(name, rank).filter(F.col(name) <= n).drop(name)

@@ -23,11 +23,11 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from flowscope.llm.tables import cut, lean, only
+from flowscope.llm.tables import cut, lean, only, sampled
 
 # The sample a model is fitted on: at most so many documents of each label.
 SAMPLE_PER_LABEL = 8000
@@ -203,8 +203,8 @@ def learn(
     if learn_from:
         known = known.filter(learn_from(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = cut(known.withColumn("rank", rank).filter(F.col("rank") <= per_label).drop("rank"), "sample")
+    hashed = known.withColumn("h", F.xxhash64("doc_id"))
+    sample = cut(sampled(hashed, "toxic", "h", per_label, 2).drop("h"), "sample")
     train = only(docs, doc_id=doc_id, text=text).join(F.broadcast(sample), "doc_id").select("text", "toxic")
     train = cut(train.filter("text is not null"), "train")
     totals = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
