@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,16 +57,19 @@ def write_table(df: DataFrame, name: str, path: str, mode: str = "overwrite") ->
     typed.write.mode(mode).parquet(path)
 
 
-def append_assignments(rows: DataFrame, path: str, time: str = "time") -> None:
-    """Appends ``time, topologies, assignment`` rows, partitioned by day."""
+def append_assignments(rows: DataFrame, path: str, time: str = "time", batch: str | None = None) -> None:
+    """Appends ``time, topologies, assignment`` rows, partitioned by batch and day.
+
+    A run that names its ``batch`` may be repeated: it overwrites what it wrote before.
+    """
     rows.select(
         F.col(time).cast(T.TimestampType()).alias("time"),
         "topologies",
         "assignment",
         F.col(time).cast("date").alias("day"),
-    ).write.mode("append").partitionBy("day").parquet(path)
+    ).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch or uuid.uuid4().hex}")
 
 
 def read_assignments(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*TABLES["assignment"].fields, T.StructField("day", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    parts = [T.StructField("batch", T.StringType()), T.StructField("day", T.DateType())]
+    return spark.read.schema(T.StructType([*TABLES["assignment"].fields, *parts])).parquet(path).drop("batch")

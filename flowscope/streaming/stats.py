@@ -104,24 +104,33 @@ def stream_moving_rate(
 def stream_counter_delta(samples: DataFrame, clock_hz: int) -> DataFrame:
     """CPU cycles between counter samples of a thread, across micro-batches.
 
-    State: the last counter.  Negative samples are dropped; a counter below its
-    predecessor counts in full.
+    State: time, id and value of the newest sample.  Negative samples are dropped; a counter
+    below its predecessor counts in full.  A sample that is not newer than one of an earlier
+    micro-batch comes too late to be placed: it is passed on with null ``cycles``, so
+    that late samples can be counted, and changes no other row.
     """
     output = "thread_id long, ts timestamp, event_id long, cpu_total long, cycles long"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        (last,) = state.get if state.exists else (0,)
+        newest_ts, newest_id, last = state.get if state.exists else (None, None, 0)
         rows = _in_order(batches, ["ts", "event_id"])
-        counter = rows["cpu_total"]
+        late = pd.Series(False, index=rows.index)
+        if newest_ts is not None:
+            micros = rows["ts"].astype("datetime64[us]").astype("int64")
+            late = (micros < newest_ts) | ((micros == newest_ts) & (rows["event_id"] <= newest_id))
+        live = rows[~late]
+        counter = live["cpu_total"]
         previous = counter.shift(fill_value=last)
         delta = (counter - previous).where(counter >= previous, counter)
-        rows["cycles"] = (delta / 1e9 * float(clock_hz)).astype("int64")
-        state.update((int(counter.iloc[-1]),))
+        rows["cycles"] = (delta / 1e9 * float(clock_hz)).astype("int64").astype("Int64").reindex(rows.index)
+        if len(live):
+            end = live.iloc[-1]
+            state.update((int(end["ts"].value // 1000), int(end["event_id"]), int(end["cpu_total"])))
         yield rows[["thread_id", "ts", "event_id", "cpu_total", "cycles"]]
 
     live = samples.filter(F.col("cpu_total") >= 0).select("thread_id", "ts", "event_id", "cpu_total")
     return live.groupBy("thread_id").applyInPandasWithState(
-        step, output, "last long", "append", GroupStateTimeout.NoTimeout
+        step, output, "ts long, event_id long, last long", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -49,6 +49,9 @@ def test_appended_assignments_accumulate(rows, spark, tmp_path):
         tables.append_assignments(done.withColumnRenamed("snapshot", "time"), path)
     stored = tables.read_assignments(spark, path)
     assert stored.count() == 4
+    for _ in range(2):
+        tables.append_assignments(done.withColumnRenamed("snapshot", "time"), path, batch="b1")
+    assert tables.read_assignments(spark, path).count() == 6
     assert as_set(stored.filter(f"day = '{D[2]}'"), "topologies", "assignment") == {
         ("t1, t2", "(a:1 x)(b:2 z)")
     }

@@ -93,6 +93,14 @@ def test_counter_delta(spark, tmp_path):
     assert as_set(got.filter("thread_id = 1"), "event_id", "cycles") >= {(0, 5000), (2, 3000), (4, 5000)}
 
 
+def test_a_late_sample_is_passed_on_without_cycles(spark, tmp_path):
+    schema = "thread_id long, ts timestamp, event_id long, cpu_total long"
+    rows = [(1, DAY0 + dt.timedelta(seconds=s), s, s * 10**9) for s in (10, 30, 20, 40)]
+    source = feed(spark, tmp_path, schema, [rows[:2], rows[2:]])
+    got = landed(spark, stats.stream_counter_delta(source, 1000), tmp_path, "late")
+    assert as_set(got, "event_id", "cycles") == {(10, 10_000), (30, 20_000), (20, None), (40, 10_000)}
+
+
 def test_alerts(spark, tmp_path):
     schema = "topology_key string, eval_ts timestamp, event_id long, wanted boolean, timeout_s int"
     rng = random.Random(2)
