@@ -17,6 +17,7 @@ import bisect
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ from flowscope.llm.tables import cut, fresh, lean, only
 
 SHARD_PIECES = 25_000
 BLOCK = 4 << 20
-KNOWN_RUNS = 400_000
+KNOWN_RUNS = 500_000
+SHORT = 7
 # Runs encoded at a time: the library's results are much larger than the ids taken from them.
 ENCODED = 10_000
 UNDERFULL = 0.985
@@ -49,7 +51,7 @@ class Ids:
 
     Only for tokenizers that drop white space and split at it: then a text's ids are those
     of its runs in a row.  What else the tokenizer does, it does itself, run by run.  The
-    runs kept are bounded; when there are more, they are forgotten and tokenized again.
+    runs kept are bounded; when there are more, long ones are forgotten and tokenized again.
     """
 
     def __init__(self, path: str):
@@ -63,13 +65,22 @@ class Ids:
         out = []
         for at in range(0, len(runs), ENCODED):
             encoded = self.tokenizer.encode_batch_fast(runs[at : at + ENCODED], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in encoded]
+            lists = [e.ids for e in encoded]
+            data = np.array(list(chain.from_iterable(lists)), "<u4").tobytes()
+            ends = np.cumsum([4 * len(x) for x in lists]).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
+    def _forget(self) -> None:
+        """Keeps the short runs, which come again most often, unless they are too many themselves."""
+        self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+        if len(self.known) > KNOWN_RUNS // 2:
+            self.known = {}
+
     def texts(self, block: list[str]) -> Iterator[bytes]:
         split = [[t] if any(c in t for c in _SEPARATOR_CONTROLS) else t.split() for t in block]
         if len(self.known) > KNOWN_RUNS:
-            self.known.clear()
+            self._forget()
         new = list({r for runs in split for r in runs if r not in self.known})
         self.known.update(zip(new, self._encode(new), strict=True))
         get = self.known.__getitem__
