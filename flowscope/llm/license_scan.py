@@ -8,9 +8,11 @@ the exact share of the template's shingles that the window has.  Everything is b
 column functions.
 
 Defined results: a null or empty text, or one with fewer words than a shingle, matches
-nothing; so does such a template.  Repeated rows count once.  Of several templates in a
-window those with the highest containment count, all of them when equal; of several windows
-with the same containment the first is reported.  Empty tables give an empty result.
+nothing; so does such a template.  Repeated rows count once.  A template of which a text has
+nothing but what it has of another found one does not count (versions of a header, a text
+within another); of those with the very same shingles found the highest containment counts,
+all of them when equal.  Of several windows with the same containment the first is reported.
+Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowscope.llm.license_texts import HEADERS, WHOLE
 from flowscope.llm.tables import cut, only
 
 SHINGLE = 3
@@ -52,6 +55,12 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template_id long, license string, text string")
 
 
+def license_templates(spark: SparkSession) -> DataFrame:
+    """The notices, and after them the whole texts and standard headers."""
+    rows = [(i, name, text) for i, (name, text) in enumerate(WHOLE + HEADERS, len(NOTICES))]
+    return notices(spark).union(spark.createDataFrame(rows, "template_id long, license string, text string"))
+
+
 def words_of(text: Column) -> Column:
     """Lower-case runs of letters and digits; an empty array for none."""
     spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -102,6 +111,15 @@ def windows_of(shingles: Column, size: int) -> Column:
     return F.transform(starts, cut_out)
 
 
+def _distinct_shingles(templates: DataFrame) -> list[int]:
+    """The templates' shingles, one more than ``LITERAL_SHINGLES`` at most."""
+    return [r["s"] for r in templates.select(F.explode("theirs").alias("s")).distinct().limit(LITERAL_SHINGLES + 1).collect()]
+
+
+def _literal(shingles: list[int]) -> Column:
+    return F.array(*[F.lit(s) for s in shingles]).cast("array<bigint>")
+
+
 def license_matches(
     docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", containment: float = CONTAINMENT
 ) -> DataFrame:
@@ -121,9 +139,9 @@ def license_matches(
     # Exploding a single element keeps later filters from being pushed below the hashing, where
     # the words would be split anew for every shingle.
     rows = worded.select("doc_id", "row", F.explode(F.array(shingles_of(F.col("words")))).alias("shingles"))
-    every = known.select(F.explode("theirs").alias("s")).distinct().limit(LITERAL_SHINGLES + 1).collect()
+    every = _distinct_shingles(known)
     if len(every) <= LITERAL_SHINGLES:
-        rows = rows.filter(F.arrays_overlap("shingles", F.array(*[F.lit(r["s"]) for r in every]).cast("array<bigint>")))
+        rows = rows.filter(F.arrays_overlap("shingles", _literal(every)))
     rows = cut(rows.filter(F.size("shingles") > 0), "scanned")
     sizes = sorted({class_of(r["n_words"]) for r in known.select("n_words").distinct().collect()})
     found = None
@@ -131,24 +149,36 @@ def license_matches(
         bands = bands_for(size)
         low = size // 2 if size > 8 else 0
         own = known.filter((F.col("n_words") > low) & (F.col("n_words") <= size))
-        windows = rows.select("doc_id", "row", F.explode(windows_of(F.col("shingles"), size)).alias("w")).select(
+        scanned, likely = rows, F.lit(True)
+        if len(every) <= LITERAL_SHINGLES:
+            # Texts and windows with less of the class than its smallest template needs cannot match.
+            need = math.ceil(containment * own.agg(F.min(F.size("theirs"))).first()[0])
+            likely = F.size(F.array_intersect(F.col("own"), _literal(_distinct_shingles(own)))) >= need
+            scanned = rows.withColumn("own", F.col("shingles")).filter(likely).drop("own")
+        windows = scanned.select("doc_id", "row", F.explode(windows_of(F.col("shingles"), size)).alias("w")).select(
             "doc_id", "row", "w.start", "w.own"
-        )
+        ).filter(likely)
         banded = windows.select("*", F.posexplode(minhashes(F.col("own"), bands)).alias("band", "value"))
         of_template = own.select("*", F.posexplode(minhashes(F.col("theirs"), bands)).alias("band", "value"))
         met = banded.join(of_template, ["band", "value"])
-        share = F.size(F.array_intersect("own", "theirs")) / F.size("theirs")
-        verified = met.withColumn("containment", share).filter(F.col("containment") >= containment)
-        # Versions of a notice differ by a word: of the templates in one window the best stand.
-        most = F.max("containment").over(Window.partitionBy("row", "start"))
-        verified = verified.withColumn("most", most).filter("containment = most")
-        part = verified.select("doc_id", "row", "template_id", "license", "containment", "start")
+        verified = met.withColumn("common", F.array_intersect("own", "theirs"))
+        verified = verified.withColumn("containment", F.size("common") / F.size("theirs"))
+        verified = verified.filter(F.col("containment") >= containment)
+        part = verified.select("doc_id", "row", "template_id", "license", "containment", "start", "common")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("doc_id", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("license"),
             F.lit(None).cast("double").alias("containment"), F.lit(None).cast("int").alias("word_from")).limit(0)
-    best = F.max(F.struct(F.col("containment").alias("c"), (-F.col("start")).alias("s"))).alias("best")
+    best = F.max(F.struct(F.col("containment").alias("c"), (-F.col("start")).alias("s"), "common")).alias("best")
     merged = found.groupBy("doc_id", "row", "template_id", "license").agg(best)
-    return merged.select(
+    # As many as there are templates at most; what a text has of each of them.
+    of_text = F.collect_list(F.struct("best.c", "best.common")).over(Window.partitionBy("row"))
+    common, n_common = F.col("best.common"), F.size("best.common")
+    outdone = F.exists(
+        "of_text",
+        lambda o: (F.size(F.array_except(common, o["common"])) == 0)
+        & ((F.size(o["common"]) > n_common) | (o["c"] > F.col("best.c"))),
+    )
+    return merged.withColumn("of_text", of_text).filter(~outdone).select(
         "doc_id", "template_id", "license", F.col("best.c").alias("containment"), (-F.col("best.s")).alias("word_from")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowscope.llm import language_id, toxicity
 from flowscope.llm.chat_format import reply_order
 from flowscope.llm.decontamination import contaminations
-from flowscope.llm.license_scan import license_matches, notices
+from flowscope.llm.license_scan import license_matches, license_templates
 from flowscope.llm.packing import packed_documents
 from flowscope.llm.parity_join import near_duplicates
 from flowscope.llm.quality_rules import MEASURES, quality_verdicts
@@ -69,7 +69,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_matches(documents(spark, sf_dir), notices(spark))
+    return license_matches(documents(spark, sf_dir), license_templates(spark))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

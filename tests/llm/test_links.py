@@ -115,6 +115,25 @@ def test_licenses(spark):
     assert license_scan.license_matches(df, templates.limit(0)).count() == 0
 
 
+def test_license_texts_and_headers(spark):
+    gpl = """This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of
+        # the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or
+        # (at your option) any later version. Foo is distributed in the hope that it will be useful, but WITHOUT ANY
+        # WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        # General Public License for more details. You should have received a copy of the GNU General Public License
+        # along with Foo. If not, see <https://www.gnu.org/licenses/>."""
+    filler = " ".join(f"w{i}" for i in range(300))
+    texts = [(n, f"{filler[: 37 * i]} {t}\n{filler[: 11 * i]}") for i, (n, t) in enumerate(license_scan.WHOLE + license_scan.HEADERS)]
+    texts += [("GPL-2.0", gpl.format(2)), ("GPL-3.0", filler + gpl.format(3))]
+    bsd = license_scan.WHOLE[2][1].replace("copyright holder nor", "University nor")
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(900, f"{license_scan.WHOLE[0][1]} {bsd}"), (901, filler)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in license_scan.license_matches(df, license_scan.license_templates(spark)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    assert found == {i: {n} for i, (n, _) in enumerate(texts)} | {900: {"MIT", "BSD-3-Clause"}}
+
+
 def test_benchmark_passages(spark):
     rng = random.Random(9)
     words = [f"b{i}" for i in range(3000)]
