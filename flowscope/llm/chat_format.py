@@ -1,8 +1,10 @@
 """Conversations in reply order without quotes, from messages that quote each other.
 
 Lines of a message have a quote level, the number of ``>`` before them.  Runs of lines of one
-level are passages; those above level 0 are quotes.  Normalised lines of quotes are hashed
-and joined to the first earlier message of the conversation that wrote the line itself.
+level are passages; those above level 0 are quotes.  A passage is one sequence of normalised
+words, wherever its lines break.  Its runs of ``SHINGLE`` words and its whole lines are hashed
+and joined to the first earlier message of the conversation that wrote the same itself; a
+quoted line comes from the message that has most of its words, ``SHARE`` of them at least.
 A message replies to the message it quotes most, or to the one before it.  A first reply
 carries on its parent's thread, every further one begins a thread of its own; a message's
 place in its thread comes from pointer doubling.  Everything is built-in column functions.
@@ -24,6 +26,8 @@ QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 # Turns of a conversation are numbered in pieces, so that no task sorts a whole one.
 PIECE = 1024
 MAX_ROUNDS = 64
+SHINGLE = 3
+SHARE = 0.75
 
 
 def lines_of(text: Column) -> Column:
@@ -71,23 +75,64 @@ def parsed(messages: DataFrame) -> DataFrame:
     )
 
 
-def _hashed_lines(rows: DataFrame, quoted: bool) -> DataFrame:
-    """conv_id, turn, level, line: hashes of normalised lines with words, of quotes or of the message itself."""
-    p = rows.select("conv_id", "turn", F.explode("passages").alias("p"))
+def _units(rows: DataFrame, quoted: bool) -> DataFrame:
+    """conv_id, turn, message, passage, level and what is compared of each passage, of quotes or of the message itself.
+
+    A unit has a ``hash`` and ``cells``, the words under it as (pos, line, of), the place in the
+    passage, the line and that line's number of words.  Units are whole lines (``whole``) and runs
+    of ``SHINGLE`` words; a shorter passage is one run.
+    """
+    p = rows.select("conv_id", "turn", F.xxhash64("passages").alias("message"), F.posexplode("passages").alias("passage", "p"))
     p = p.filter(F.col("p.level") > 0 if quoted else F.col("p.level") == 0)
-    line = p.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode("p.lines").alias("text"))
-    line = line.select("conv_id", "turn", "level", normalised(F.col("text")).alias("text")).filter("text != ''")
-    return line.select("conv_id", "turn", "level", F.xxhash64("text").alias("line"))
+    keys = ["conv_id", "turn", "message", "passage", "level"]
+    split = F.transform("p.lines", lambda x: F.filter(F.split(normalised(x), " "), lambda w: w != ""))
+    # Exploded single elements are worked out once, not anew for each word.
+    p = p.select("conv_id", "turn", "message", "passage", F.col("p.level").alias("level"), F.explode(F.array(split)).alias("lines"))
+    at = F.flatten(F.transform("lines", lambda ws, i: F.transform(ws, lambda w: F.struct(i.alias("line"), F.size(ws).alias("of")))))
+    p = p.select(*keys, "lines", F.explode(F.array(F.struct(F.flatten("lines").alias("words"), at.alias("at")))).alias("f"))
+    p = p.select(*keys, "lines", F.col("f.words").alias("words"), F.col("f.at").alias("at")).filter(F.size("words") > 0)
+
+    def unit(start: Column, n: Column, whole: bool) -> Column:
+        cell = lambda j: F.struct(j.alias("pos"), F.get("at", j)["line"].alias("line"), F.get("at", j)["of"].alias("of"))
+        cells = F.transform(F.sequence(start, start + n - 1), cell)
+        text = F.array_join(F.slice("words", start + 1, n), " ")
+        return F.struct(F.xxhash64(text).alias("hash"), F.lit(whole).alias("whole"), cells.alias("cells"))
+
+    n = F.least(F.size("words"), F.lit(SHINGLE))
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: unit(i, n, False))
+    # A line begins where the word before it belongs to another.
+    begins = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 1),
+        lambda i: (i == 0) | (F.get("at", i)["line"] != F.get("at", F.greatest(i - 1, F.lit(0)))["line"]),
+    )
+    whole = F.transform(begins, lambda i: unit(i, F.get("at", i)["of"], True))
+    return p.select(*keys, F.explode(F.concat(runs, whole)).alias("u")).select(*keys, "u.hash", "u.whole", "u.cells")
 
 
 def quote_links(rows: DataFrame) -> DataFrame:
     """conv_id, turn, level, source, lines: how many quoted lines of a level came from which earlier message."""
-    quotes = _hashed_lines(rows, True).groupBy("conv_id", "turn", "level", "line").agg(F.count(F.lit(1)).alias("n"))
-    wanted = quotes.select("conv_id", "line").distinct()
-    written = _hashed_lines(rows, False).join(wanted, ["conv_id", "line"], "left_semi")
-    origin = written.groupBy("conv_id", "line").agg(F.min("turn").alias("source"))
-    linked = quotes.join(origin, ["conv_id", "line"]).filter("source < turn")
-    return linked.groupBy("conv_id", "turn", "level", "source").agg(F.sum("n").alias("lines"))
+    quoting = rows.filter(F.exists("passages", lambda p: p["level"] > 0))
+    quotes = cut(_units(quoting, True), "quoted")
+    copies = quoting.groupBy("conv_id", "turn", F.xxhash64("passages").alias("message")).agg(F.count(F.lit(1)).alias("copies"))
+    wanted = quotes.select("conv_id", "hash").distinct()
+    own = rows.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
+    written = _units(own, False).select("conv_id", "turn", "hash", "whole").join(wanted, ["conv_id", "hash"], "left_semi")
+    origin = written.groupBy("conv_id", "hash").agg(
+        F.min("turn").alias("first"), F.min(F.when(F.col("whole"), F.col("turn"))).alias("first_whole")
+    )
+    # A whole line comes from the first that wrote it as a line, if there is one.
+    exact = F.coalesce(F.col("whole") & (F.col("first_whole") < F.col("turn")), F.lit(False))
+    met = quotes.join(origin, ["conv_id", "hash"]).withColumn("exact", exact)
+    met = met.withColumn("source", F.when(F.col("exact"), F.col("first_whole")).otherwise(F.col("first"))).filter("source < turn")
+    line = ["conv_id", "turn", "message", "passage", "level", "line"]
+    words = met.select("conv_id", "turn", "message", "passage", "level", "exact", "source", F.explode("cells").alias("c"))
+    words = words.select(*line[:-1], "exact", "source", "c.pos", "c.line", "c.of")
+    shares = words.groupBy(*line, "of", "source").agg(
+        F.size(F.collect_set("pos")).alias("covered"), F.max("exact").alias("exact")
+    ).filter(F.col("covered") >= SHARE * F.col("of"))
+    most = F.max(F.struct("covered", "exact", (-F.col("source")).alias("s")))["s"]
+    linked = shares.groupBy(*line).agg((-most).alias("source")).join(copies, ["conv_id", "turn", "message"])
+    return linked.groupBy("conv_id", "turn", "level", "source").agg(F.sum("copies").alias("lines"))
 
 
 def _before(turns: DataFrame) -> DataFrame:

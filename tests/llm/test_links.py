@@ -77,6 +77,20 @@ def test_reply_order(spark):
     assert chat_format.reply_order(df.limit(0)).count() == 0
 
 
+def test_quotes_wrapped_anew(spark):
+    rows = [
+        (1, 0, "u", "Hello there. How are you?"), (1, 1, "a", "Something else\nentirely, at\nlength."),
+        (1, 2, "u", "> Hello there. How\n> are you?\nWell."), (1, 3, "a", "> Something else entirely,\n> at length.\nYes"),
+        (1, 4, "u", "> there. How are\nin part"), (1, 5, "u", "> Hello there my friend, we never said this\nno"),
+        (1, 6, "u", "> Hello there. How are you?\n> Well.\nlines of two"), (2, 0, "u", "Hi\nyou"), (2, 1, "a", "x"), (2, 2, "u", "> Hi you\nshort"),
+        (2, 3, "u", "> Hi you\nshort"), (2, 3, "u", "> Hi you\nshort"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_linked"]) for r in chat_format.reply_order(df).collect()}
+    assert got[1, 2] == (0, 2) and got[1, 3] == (1, 2) and got[1, 4] == (0, 1) and got[1, 5] == (4, 0)
+    assert got[1, 6] == (2, 2) and got[2, 2] == (0, 1) and got[2, 3] == (0, 2)
+
+
 def test_no_python_in_native_plans(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     chats = spark.createDataFrame([(1, 0, "u", "x")], "conv_id long, turn long, role string, text string")
