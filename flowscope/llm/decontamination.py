@@ -6,7 +6,8 @@ items that share enough seeds are tiled: the longest common run is marked again
 never overlapping, until none of ``MATCH`` words is left.  The share of an item's words under
 tiles is its coverage, wherever in the document and in whatever order the tiles are.
 
-Defined results: words are runs of letters and digits, lower-cased; an item of fewer than
+Defined results: words are runs of letters and digits, lower-cased, and single letters in
+scripts without spaces; an item of fewer than
 ``MATCH`` words is matched as one run of its own length.  Null or empty items and texts match
 nothing.  A repeated item or document row counts once; a null id is an id like any
 other.  Among equally long runs the first in the item, then in the document, is
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.llm.hashing import NOT_ALNUM, documents_words, in_blocks, windows
+from flowscope.llm.hashing import NOT_ALNUM, documents_words, in_blocks, spaced, windows
 from flowscope.llm.tables import column, cut, fresh, lean, only
 
 MATCH = 5
@@ -36,7 +37,7 @@ _U = np.uint64
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return documents_words([t.lower().encode() for t in texts], NOT_ALNUM)
+    return documents_words([spaced(t.lower()).encode() for t in texts], NOT_ALNUM)
 
 
 def _item_rows(match: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -8,6 +8,8 @@ of about 2^-64 a pair.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -26,10 +28,51 @@ def _lookup(separators: bytes) -> np.ndarray:
 
 # Space and \t \n \v \f \r: what the word pattern [^\x20\x09-\x0D]+ leaves out.
 BLANK = _lookup(b" \t\n\x0b\x0c\r")
-# All of ASCII but letters and digits; other scripts' bytes belong to words.
+# All of ASCII but letters and digits; other scripts' bytes belong to words, so texts that
+# may have other separators go through ``spaced`` first.
 NOT_ALNUM = _lookup(bytes(c for c in range(128) if not chr(c).isalnum()))
 
 
+_FAR = re.compile(r"[^\x00-\x7f]+")
+_NO_LETTERS = re.compile(r"[^\w\x00-\x7f]+")
+# Letters of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Bopomofo,
+# Han), each with the marks that follow it.
+_UNSPACED = re.compile(
+    r"((?=\w)[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u312f\u31a0-\u31ff\u3400-\u4dbf"
+    r"\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]"
+    r"[^\w\s\x00-\x7f]*)"
+)
+_ZERO_WIDTH_SPACE = "\u200b"
+_KEPT_RUN = 16
+
+
+def _gap(found: re.Match) -> str:
+    """Marks stay with their letters, invisible characters inside words vanish, all else separates."""
+    out = []
+    for c in found[0]:
+        kind = unicodedata.category(c)
+        out.append(c if kind[0] == "M" else "" if kind == "Cf" and c != _ZERO_WIDTH_SPACE else " ")
+    return "".join(out)
+
+
+def _apart(run: str) -> str:
+    return _UNSPACED.sub(r" \1 ", _NO_LETTERS.sub(_gap, run))
+
+
+_known_apart = lru_cache(maxsize=1 << 12)(_apart)
+
+
+def spaced(text: str) -> str:
+    """``text`` with its words apart by ASCII separators.
+
+    Other separators and punctuation become spaces; letters of scripts without spaces are
+    words of their own.
+    """
+    if text.isascii():
+        return text
+    return _FAR.sub(lambda m: _known_apart(m[0]) if len(m[0]) < _KEPT_RUN else _apart(m[0]), text)
+
+
 @lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i up to n."""

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from flowscope.llm import chat_format, decontamination, license_scan, url_filter
+from flowscope.llm.hashing import spaced
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
 
@@ -175,6 +176,28 @@ def test_benchmark_passages(spark):
     assert decontamination.contaminations(df, benchmark.limit(0)).count() == 0
 
 
+def test_benchmark_passages_of_other_scripts(spark):
+    items = [
+        (1, "敏捷的棕色狐狸跳过了那条懒惰的老狗"), (2, "สุนัขจิ้งจอกสีน้ำตาลกระโดดข้ามสุนัข"),
+        (3, "She said \"don't wait\" - and then, at last, it's done for good"), (4, "これはテストの文章です"),
+    ]
+    rows = [
+        (1, "昨天他写道：“敏捷的棕色狐狸跳过了那条懒惰的老狗”。然后abc离开了，没有再说话。"), (2, f"เขาเขียนว่า{items[1][1]}แล้วก็ไป"),
+        (3, "x y\u00a0She said “don’t\u00a0wait”—and then, at last, it’s done for good…z"), (4, "昨日、これはテストの文章です。終わり"),
+        (5, "昨天我们去了公园，看到很多不同的花。"), (6, "She said nothing at all—and left"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontamination.contaminations(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["coverage"] for r in got} == {(i, i): 1.0 for i in range(1, 5)}
+
+
+def test_words_of_other_scripts():
+    words = lambda t: spaced(t).split()
+    assert words("中a文b１，。ก็ดี") == ["中", "a", "文", "b１", "ก็", "ดี"]
+    assert words("été — naïve\u00a0co\u00adop e\u0301t हिन्दी「x」") == ["été", "naïve", "coop", "e\u0301t", "हिन्दी", "x"]
+    assert spaced("don't, ok") == "don't, ok"
+
+
 def tiles_by_force(doc, item, match):
     """Greedy string tiling over all pairs of places."""
     free_d, free_i, out = [True] * len(doc), [True] * len(item), []
