@@ -37,6 +37,8 @@ SHORT = 7
 # Runs encoded at a time: the library's results are much larger than the ids taken from them.
 ENCODED = 10_000
 UNDERFULL = 0.985
+# Turns of dealing; a turn's number takes five bits of the sequence ids.
+MAX_TURNS = 31
 # Blanks to str.split() that this library's \s leaves inside words.
 _SEPARATOR_CONTROLS = "\x1c\x1d\x1e\x1f"
 
@@ -252,15 +254,15 @@ def pack(pieces: DataFrame, length: int, shard_pieces: int = SHARD_PIECES) -> Da
     )
     parts, left = [full], pieces.filter(F.col("length") < length).select("place", "length")
     count = left.count()
-    for turn in range(1, 32):
+    for turn in range(1, MAX_TURNS + 1):
         shards = max(1, -(-count // shard_pieces))
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("place", F.lit(turn)), F.lit(shards)))
         packed = cut(dealt.groupBy("shard").applyInPandas(_pack_shard(length, turn), PACKED), "packed")
         done = F.col("fill") >= UNDERFULL * length
         again = packed.filter(~done)
         before, count = count, again.count()
-        # One shard has seen all that was left; or nothing fits together any more.
-        last = shards == 1 or count > 0.9 * before or not count
+        # One shard has seen all that was left; or nothing fits together any more; or no turn is left.
+        last = shards == 1 or count > 0.9 * before or not count or turn == MAX_TURNS
         parts.append((packed if last else packed.filter(done)).select("place", "sequence_id", "offset"))
         if last:
             break

@@ -203,6 +203,13 @@ def test_packing(spark, monkeypatch):
         packing.Ids(BYTE_BPE)
 
 
+def test_packing_keeps_all_pieces_when_turns_run_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_TURNS", 1)
+    rng = random.Random(5)
+    pieces = packing.cut(spark.createDataFrame([(i, rng.randint(20, 60)) for i in range(400)], "place long, length long"), "p")
+    assert sorted(r["place"] for r in packing.pack(pieces, 64, shard_pieces=40).collect()) == list(range(400))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 99), max_size=80))
 def test_local_search_never_adds_bins(sizes):
