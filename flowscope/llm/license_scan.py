@@ -82,16 +82,16 @@ def class_of(words: int) -> int:
     return max(8, 1 << (words - 1).bit_length())
 
 
-def bands_for(size: int) -> int:
+def bands_for(size: int, shingles: list[int]) -> int:
     """Bands of one row each that meet with a chance of 1 - MISS at the lowest possible similarity.
 
-    A template of more than half the class, contained to ``CONTAINMENT`` in a window of three
-    halves, has at least this Jaccard similarity with it.
+    ``shingles`` are the numbers of shingles that templates of the class have.  A template
+    contained to ``CONTAINMENT`` in a window of three halves has at least the Jaccard
+    similarity with it that it has with a full window.
     """
-    least = size // 2 + 1 - SHINGLE + 1 if size > 8 else SHINGLE
     window = 3 * size // 2 - SHINGLE + 1
-    common = math.ceil(CONTAINMENT * least)
-    return math.ceil(math.log(MISS) / math.log(1 - common / (window + least - common)))
+    common = [(n, math.ceil(CONTAINMENT * n)) for n in shingles]
+    return math.ceil(math.log(MISS) / math.log(1 - min(c / (window + n - c) for n, c in common)))
 
 
 def minhashes(shingles: Column, bands: int) -> Column:
@@ -146,13 +146,14 @@ def license_matches(
     sizes = sorted({class_of(r["n_words"]) for r in known.select("n_words").distinct().collect()})
     found = None
     for size in sizes:
-        bands = bands_for(size)
         low = size // 2 if size > 8 else 0
         own = known.filter((F.col("n_words") > low) & (F.col("n_words") <= size))
+        lengths = [r["n"] for r in own.select(F.size("theirs").alias("n")).distinct().collect()]
+        bands = bands_for(size, lengths)
         scanned, likely = rows, F.lit(True)
         if len(every) <= LITERAL_SHINGLES:
             # Texts and windows with less of the class than its smallest template needs cannot match.
-            need = math.ceil(containment * own.agg(F.min(F.size("theirs"))).first()[0])
+            need = math.ceil(containment * min(lengths))
             likely = F.size(F.array_intersect(F.col("own"), _literal(_distinct_shingles(own)))) >= need
             scanned = rows.withColumn("own", F.col("shingles")).filter(likely).drop("own")
         windows = scanned.select("doc_id", "row", F.explode(windows_of(F.col("shingles"), size)).alias("w")).select(

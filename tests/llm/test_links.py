@@ -130,6 +130,13 @@ def test_licenses(spark):
     assert license_scan.license_matches(df, templates.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_bands_suffice_for_short_templates(n):
+    # In a full window of class 8 there are 10 shingles, so n found ones have a similarity of n / 10 at least.
+    least = min(-(-3 * k // 4) / (10 + k - -(-3 * k // 4)) for k in (n, 6))
+    assert (1 - least) ** license_scan.bands_for(8, [n, 6]) <= license_scan.MISS
+
+
 def test_license_texts_and_headers(spark):
     gpl = """This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of
         # the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or
