@@ -15,6 +15,7 @@ from flowscope.llm.license_scan import license_matches, license_templates
 from flowscope.llm.packing import packed_documents
 from flowscope.llm.parity_join import near_duplicates
 from flowscope.llm.quality_rules import MEASURES, quality_verdicts
+from flowscope.llm.resampling import resampled
 from flowscope.llm.tables import learn_share, small_batches, table
 from flowscope.llm.token_counts import token_counts
 from flowscope.llm.url_filter import judge_urls
@@ -97,6 +98,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampled(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 URL_SQL = """
@@ -188,4 +195,69 @@ from judged
 """
 
 
-ORACLE: dict[str, str] = {"op1_url_filter": URL_SQL, "op9_quality_rules": _quality_sql()}
+# The CRC-32 of a text in SQL: its bytes folded over the table that the polynomial gives.
+RESAMPLING_SQL = r"""
+with recursive bits(b, k, v) as (
+    select b, 0, b::bigint from range(256) r(b)
+    union all
+    select b, k + 1, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from bits where k < 8
+),
+steps as (select list(v order by b) as step from bits where k = 8),
+d as (select row_number() over () as row_id, doc_id, text, 0 as wanted from documents
+    union all select row_number() over (), null, text, 1 from benchmark),
+w as (
+    select wanted, row_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+    from d
+),
+grams as (
+    select wanted, row_id, unnest(flatten([
+        list_transform(range(1, len(ws) + 2 - k), lambda i: array_to_string(ws[i:i + k - 1], ' ')) for k in [1, 2, 3]
+    ])) as gram from w
+),
+counted as (select wanted, row_id, gram, count(*) as n from grams group by all),
+codes as (
+    select gram, hex(encode(gram)) as code, step from (select distinct gram from counted), steps
+),
+hashed as (
+    select gram, xor(list_reduce(
+        list_transform(range(0, length(code) // 2), lambda i: ('0x' || code[2 * i + 1:2 * i + 2])::bigint),
+        lambda v, b: xor(v // 256, step[xor(v, b) % 256 + 1]), 4294967295::bigint), 4294967295) % 10000 as bucket
+    from codes
+),
+placed as (select wanted, row_id, bucket, n from counted join hashed using (gram)),
+buckets as (
+    select b as bucket, coalesce(sum(n) filter (wanted = 0), 0) as s, coalesce(sum(n) filter (wanted = 1), 0) as t
+    from range(10000) r(b) left join placed on bucket = b group by b
+),
+whole as (select sum(s) as all_s, sum(t) as all_t from buckets),
+gains as (
+    select bucket, floor(1000 * ln(((t + 1)::double * (all_s + 10000)::double)
+        / ((s + 1)::double * (all_t + 10000)::double)))::bigint as gain from buckets, whole
+),
+weighed as (
+    select row_id, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight
+    from placed join gains using (bucket) where wanted = 0 group by row_id
+),
+scored as (
+    select d.row_id, d.doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln(
+            (('0x' || sha256('42:' || coalesce(d.doc_id::varchar, ''))[1:8])::bigint + 0.5::double) / 4294967296.0::double
+        )))::bigint as score, len(ws) >= 20 as long_enough
+    from d join w using (row_id, wanted) left join weighed using (row_id) where wanted = 0
+),
+places as (
+    select *, row_number() over (partition by long_enough order by score desc, doc_id nulls first) as place,
+        count(*) filter (long_enough) over () as n
+    from scored
+)
+select doc_id, n_features, weight, score, case when long_enough and place <= 5 * n // 100 then place end as rank from places
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op1_url_filter": URL_SQL,
+    "op9_quality_rules": _quality_sql(),
+    "op12_importance_resampling": RESAMPLING_SQL,
+}
