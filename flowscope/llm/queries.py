@@ -19,6 +19,7 @@ from flowscope.llm.resampling import resampled
 from flowscope.llm.tables import learn_share, small_batches, table
 from flowscope.llm.token_counts import token_counts
 from flowscope.llm.url_filter import judge_urls
+from flowscope.llm.whitening import whitened
 
 
 # The rules of the query: host, path, verdict.
@@ -103,6 +104,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = whitened(table(spark, sf_dir, "embeddings"))
+    return result.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_whitening": op13_whitening,
 }
 
 URL_SQL = """
