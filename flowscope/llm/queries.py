@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import language_id, toxicity
+from flowscope.llm import language_id, line_quality, toxicity
 from flowscope.llm.chat_format import reply_order
 from flowscope.llm.decontamination import contaminations
 from flowscope.llm.license_scan import license_matches, license_templates
@@ -99,6 +99,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage")
 
 
+QUALITY_FROM = 0.3
+
+
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = line_quality.learn(docs, table(spark, sf_dir, "labels"), lambda i: learn_share(i, parts=5, held=0))
+    return line_quality.line_quality(docs, model).select(
+        "doc_id",
+        (~learn_share(F.col("doc_id"), parts=5, held=0)).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampled(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -106,7 +120,7 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = whitened(table(spark, sf_dir, "embeddings"))
-    return result.withColumn("deviation", F.col("deviation").cast("long"))
+    return result.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -120,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_whitening": op13_whitening,
 }

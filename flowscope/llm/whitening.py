@@ -11,7 +11,8 @@ what came out is gathered the same way, to tell how far it is from the identity.
 
 Defined results: rows whose vector is null or has a null or non-finite entry are left out, as
 are those of another length than most (of equally frequent lengths the greater counts).  An
-entry beyond the range of a long counts as the end of that range.  A direction without spread
+entry beyond the range of a long counts as the end of that range, and a deviation of more than 38
+digits is null.  A direction without spread
 has no eigenvalue to divide by: components end at the rank, so one vector, or equal ones, give
 no row.  Equal eigenvalues stay in the order of the pivots; each component's largest entry is
 positive.  Repeated rows and ids count and come out as often as they occur.  An empty table gives
@@ -36,6 +37,7 @@ COMPONENTS = 32
 ROWS = 4096
 _LONG = 1 << 63
 _SAFE = 1 << 62
+_DIGITS = 10**38
 
 
 @dataclass
@@ -246,7 +248,7 @@ def whitened(
             y = _deviations(x, model.n, model.sums)
             w = _whiten(y, model)
             offsets = pa.array(np.arange(len(w) + 1) * w.shape[1], pa.int32())
-            deviation = pa.array([Decimal(v) for v in _squares(y)], pa.decimal128(38, 0))
+            deviation = pa.array([Decimal(v) if v < _DIGITS else None for v in _squares(y)], pa.decimal128(38, 0))
             lists = pa.ListArray.from_arrays(offsets, pa.array(w.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("vec_id"), deviation, lists], ["vec_id", "deviation", "whitened"])
 
