@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.operators.joins import spread_join
@@ -183,28 +183,19 @@ def least_loaded_slot(
     )
 
 
-def least_loaded_node(
-    requests: DataFrame,
-    nodes: DataFrame,
-    on_node: DataFrame,
-    limits: DataFrame,
-    exclude: DataFrame | None = None,
-    k: str = "k",
-    extra: str = "x",
-    name: str = "node",
+def node_steps(
+    asks: DataFrame, nodes: DataFrame, on_node: DataFrame, limits: DataFrame, exclude: DataFrame | None = None
 ) -> DataFrame:
-    """The least loaded node that takes ``k`` slots with ``x`` load of a topology.
+    """Per (topology, ``__k`` slots) of ``asks`` the suitable nodes as a staircase, ``__steps``.
 
-    Per (topology, k) the suitable nodes are reduced to a staircase: sorted by
-    spare capacity, a node stays only if it is less loaded than all nodes with
-    more spare capacity.  A request then takes the first step that is high
-    enough, so requests never meet nodes pairwise.  ``exclude`` lists (topology,
-    node) pairs that must not be used.
+    Sorted by spare capacity, a node starts a step only if it is among the two least loaded of
+    those with no less spare capacity: ``spare``, ``best`` and ``next`` (load, node, capacity and
+    the slots there is room for).  ``exclude`` lists (topology, node) pairs that must not be used.
     """
-    asks = requests.select("topology_id", F.col(k).alias("__k")).distinct()
     able = nodes.select(
         F.col("name").alias("node"),
         F.col("load").alias("__load"),
+        F.col("capacity").alias("__capacity"),
         (F.col("capacity") - F.col("load")).alias("__spare"),
         F.col("free_ports").alias("__free"),
     ).filter((F.col("__free") > 0) & (F.col("__spare") >= 0))
@@ -212,24 +203,54 @@ def least_loaded_node(
     if exclude is not None:
         every = every.join(exclude, ["topology_id", "node"], "left_anti")
     here = on_node.select("topology_id", "node", F.col("slots").alias("__here"))
-    suitable = every.join(here, ["topology_id", "node"], "left").filter(
-        (F.col("__free") >= F.col("__k"))
-        & (F.coalesce("__here", F.lit(0)) + F.col("__k") <= F.col("max_slots"))
+    left = F.least("__free", F.col("max_slots") - F.coalesce("__here", F.lit(0)))
+    suitable = (
+        every.join(here, ["topology_id", "node"], "left").withColumn("__room", left).filter(F.col("__room") >= F.col("__k"))
+    )
+    rank = F.struct(
+        F.col("__load").alias("load"), "node", F.col("__capacity").alias("capacity"), F.col("__room").alias("room")
     )
-    rank = F.struct(F.col("__load").alias("load"), F.col("node").alias("node"))
-    more_spare = (
+    by_spare = Window.partitionBy("topology_id", "__k").orderBy(F.desc("__spare"))
+    ahead = (
         Window.partitionBy("topology_id", "__k")
-        .orderBy(F.desc("__spare"), "__load", "node")
+        .orderBy(F.desc("__spare"), "__rank")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    steps = (
+    # The second least of what came so far is the least of each one and the best before it,
+    # whichever is greater.
+    before = F.min("__rank").over(ahead)
+    return (
         suitable.withColumn("__rank", rank)
-        .withColumn("__ahead", F.min("__rank").over(more_spare))
-        .filter(F.col("__ahead").isNull() | (F.col("__rank") < F.col("__ahead")))
+        .withColumn("__later", F.when(before.isNotNull(), F.greatest("__rank", before)))
+        .withColumns({"best": F.min("__rank").over(by_spare), "next": F.min("__later").over(by_spare)})
+        .filter((F.col("__rank") == F.col("best")) | (F.col("__rank") == F.col("next")))
         .groupBy("topology_id", "__k")
-        .agg(F.array_sort(F.collect_list(F.struct("__spare", "node"))).alias("__steps"))
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("__spare").alias("spare"), "best", "next"))).alias("__steps"))
     )
-    first = F.get(F.filter("__steps", lambda s: s["__spare"] >= F.col(extra)), F.lit(0))
+
+
+def step_for(steps: str, load: Column) -> Column:
+    """The step of a staircase that has room for ``load``: its ``best`` is the least loaded node that takes it."""
+    return F.get(F.filter(steps, lambda s: s["spare"] >= load), F.lit(0))
+
+
+def least_loaded_node(
+    requests: DataFrame,
+    nodes: DataFrame,
+    on_node: DataFrame,
+    limits: DataFrame,
+    exclude: DataFrame | None = None,
+    k: str = "k",
+    extra: str = "x",
+    name: str = "node",
+) -> DataFrame:
+    """The least loaded node that takes ``k`` slots with ``x`` load of a topology.
+
+    The suitable nodes are reduced to a staircase per (topology, k), see ``node_steps``.  A request
+    takes the first step that is high enough, so requests never meet nodes pairwise.
+    """
+    asks = requests.select("topology_id", F.col(k).alias("__k")).distinct()
+    steps = node_steps(asks, nodes, on_node, limits, exclude)
     return (
         spread_join(
             requests.withColumn("__k", F.col(k)),
@@ -237,7 +258,7 @@ def least_loaded_node(
             ["topology_id", "__k"],
             [c for c in requests.columns if c != "topology_id"],
         )
-        .withColumn(name, first["node"])
+        .withColumn(name, step_for("__steps", F.col(extra))["best"]["node"])
         .drop("__k", "__steps")
     )
 

@@ -9,17 +9,11 @@ level up, with slots on nodes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.functions import params as P
-from flowscope.operators.choose import (
-    least_loaded_node,
-    least_loaded_slot,
-    least_loaded_unused_node,
-)
+from flowscope.operators.choose import least_loaded_unused_node
 from flowscope.operators.joins import spread_join
 from flowscope.operators.placement import empty_slots, fits_load, node_limits
 from flowscope.operators.rollup import (
@@ -184,221 +178,6 @@ def best_move_to_empty(
     )
 
 
-def _undirected(pairs: DataFrame) -> DataFrame:
-    """Executor pairs regardless of direction: ``first``, ``second`` structs and ``w``."""
-    src = F.struct(F.col("src_begin").alias("begin_task"), F.col("src_end").alias("end_task"))
-    dst = F.struct(F.col("dst_begin").alias("begin_task"), F.col("dst_end").alias("end_task"))
-    return (
-        pairs.filter(~_is_self())
-        .groupBy("topology_id", F.least(src, dst).alias("first"), F.greatest(src, dst).alias("second"))
-        .agg(F.sum("traffic").alias("w"))
-    )
-
-
-# The two places a pair holds now and one more.
-MAX_CANDIDATES = 3
-
-
-def _pair_table(
-    pairs: DataFrame,
-    aff: DataFrame,
-    unit: Sequence[str],
-    attach_state: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """One row per pair with what its candidate places mean for it, as arrays by candidate.
-
-    ``a1`` and ``a2`` are the affinities of the two units without each other,
-    ``room``, ``load`` and ``limit`` those of the place without the two.
-
-    ``pairs`` has ``topology_id``, ``first`` and ``second`` (structs of the
-    ``unit`` columns), ``w``, their present places and loads ``place_1``,
-    ``place_2``, ``load_1``, ``load_2`` and at most three ``candidates``.  ``aff``
-    holds ``affinity`` per (topology, unit, place).  ``attach_state`` adds the
-    room of a place: ``places`` (null: not on offer), ``place_load`` and
-    ``place_limit``.
-    """
-
-    def pull(which: str, name: str) -> DataFrame:
-        return aff.select(
-            "topology_id", F.struct(*unit).alias(which), "place", F.col("affinity").alias(name)
-        )
-
-    keys = ["topology_id", "first", "second", "w", "place_1", "place_2", "load_1", "load_2", "candidates"]
-    rows = attach_state(pairs.select(*keys, F.posexplode("candidates").alias("__at", "place")))
-    rows = spread_join(
-        rows, pull("first", "__a1"), ["topology_id", "first", "place"], ["second"]
-    )
-    rows = spread_join(
-        rows, pull("second", "__a2"), ["topology_id", "second", "place"], ["first"]
-    )
-
-    def held(n: int) -> Column:
-        return (F.col("place") == F.col(f"place_{n}")).cast("long")
-
-    # The partner's share is taken out of the affinities; both units are lifted
-    # off their places before the room is measured.
-    measures = {
-        "a1": F.coalesce("__a1", _zero()) - F.col("w") * held(2),
-        "a2": F.coalesce("__a2", _zero()) - F.col("w") * held(1),
-        "room": F.col("places").cast("long") + held(1) + held(2),
-        "load": F.col("place_load") - F.col("load_1") * held(1) - F.col("load_2") * held(2),
-        "limit": F.col("place_limit"),
-        "home1": F.when(held(1) == 1, F.lit(1).cast("long")),
-        "home2": F.when(held(2) == 1, F.lit(1).cast("long")),
-    }
-    # One number per candidate and measure: plain hash aggregation, no lists.
-    spots = range(MAX_CANDIDATES)
-    wide = rows.withColumns({f"__{m}": c for m, c in measures.items()}).groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("__at") == i, F.col(f"__{m}"))).alias(f"__{m}_{i}")
-            for m in measures
-            for i in spots
-        ]
-    )
-
-    def at(measure: str, i: int) -> Column:
-        return F.col(f"__{measure}_{i}")
-
-    def home(n: int) -> Column:
-        return F.coalesce(*[F.when(at(f"home{n}", i) == 1, at(f"a{n}", i)) for i in spots])
-
-    return wide.select(
-        *keys,
-        *[F.array(*[at(m, i) for i in spots]).alias(m) for m in ("a1", "a2", "room", "load", "limit")],
-        (home(1) + home(2)).alias("home"),
-        (F.col("place_1") != F.col("place_2")).cast("long").alias("apart"),
-    )
-
-
-def _combination(i: Column, j: Column) -> dict[str, Column]:
-    """Both units of a pair table row on its i-th and j-th candidate; null if not on offer."""
-
-    def of(measure: str, which: Column) -> Column:
-        return F.get(measure, which)
-
-    same = i == j
-    first_ok = (of("room", i) >= 1) & fits_load(of("load", i), F.col("load_1"), of("limit", i))
-    second_ok = (of("room", j) >= F.when(same, 2).otherwise(1)) & fits_load(
-        of("load", j),
-        F.col("load_2") + F.when(same, F.col("load_1")).otherwise(_zero()),
-        of("limit", j),
-    )
-    apart = (~same).cast("long") - F.col("apart")
-    return {
-        "offered": of("room", i).isNotNull() & of("room", j).isNotNull(),
-        "first_place": of("candidates", i),
-        "second_place": of("candidates", j),
-        "delta": F.col("home") - of("a1", i) - of("a2", j) + F.col("w") * apart,
-        "feasible": first_ok & second_ok,
-    }
-
-
-def _every_combination(table: DataFrame) -> DataFrame:
-    """At most nine rows per pair."""
-    spots = range(MAX_CANDIDATES)
-    indexes = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in spots for j in spots]
-    )
-    c = _combination(F.col("__c.i"), F.col("__c.j"))
-    return (
-        table.withColumn("__c", F.explode(indexes))
-        .filter(c.pop("offered"))
-        .select("topology_id", "first", "second", *[v.alias(k) for k, v in c.items()])
-    )
-
-
-def _best_combination(table: DataFrame) -> DataFrame:
-    """The feasible combination with the least delta, chosen inside the row."""
-    spots = range(MAX_CANDIDATES)
-    choices = []
-    for i in spots:
-        for j in spots:
-            c = _combination(F.lit(i), F.lit(j))
-            ranked = F.struct(*[c[k].alias(k) for k in ("delta", "first_place", "second_place")])
-            choices.append(F.when(c["offered"] & c["feasible"], ranked))
-    # A generator evaluates the choice once, where a filter would repeat it.
-    best = F.array_compact(F.array(F.least(*choices)))
-    return table.select("topology_id", "first", "second", F.inline(best))
-
-
-def _executor_pair_table(pairs: DataFrame, placement: DataFrame, state: DataFrame) -> DataFrame:
-    spots = placement.select(
-        "topology_id",
-        F.struct("begin_task", "end_task").alias("unit"),
-        F.col("slot_id").alias("place"),
-        "load",
-    )
-    placed = _with_places(_undirected(pairs), spots)
-    asked = placed.withColumns({"k": F.lit(1), "x": F.greatest("load_1", "load_2")})
-    picked = least_loaded_slot(asked, state, name="__pick").drop("k", "x")
-    room = state.select(
-        "topology_id",
-        F.col("slot_id").alias("place"),
-        (F.col("max_executors") - F.col("executors")).alias("places"),
-        F.col("load").alias("place_load"),
-        F.col("max_load").alias("place_limit"),
-    )
-    return _pair_table(
-        _with_candidates(picked),
-        affinity(pairs, placement).withColumnRenamed("slot_id", "place"),
-        ["begin_task", "end_task"],
-        lambda rows: spread_join(rows, room, ["topology_id", "place"], ["first", "second"]),
-    )
-
-
-def _with_cut(scored: DataFrame, pairs: DataFrame, placement: DataFrame) -> DataFrame:
-    cut = slot_traffic_total(slot_traffic(pairs, placement))
-    totalled = spread_join(scored, cut, ["topology_id"], ["first", "second"])
-    return totalled.select(
-        "topology_id",
-        F.col("first.begin_task").alias("first_begin"),
-        F.col("first.end_task").alias("first_end"),
-        F.col("second.begin_task").alias("second_begin"),
-        F.col("second.end_task").alias("second_end"),
-        F.col("first_place").alias("first_slot"),
-        F.col("second_place").alias("second_slot"),
-        (F.coalesce("traffic", _zero()) + F.col("delta")).alias("cut"),
-        *[c for c in scored.columns if c == "feasible"],
-    )
-
-
-def score_pair_placements(pairs: DataFrame, placement: DataFrame, state: DataFrame) -> DataFrame:
-    """Cut traffic of the topology for every placement of a pair on its candidate slots.
-
-    Candidates are the slots that hold the two executors now and the least
-    loaded slot that takes the heavier one: at most nine rows per pair.
-    """
-    table = _executor_pair_table(pairs, placement, state)
-    return _with_cut(_every_combination(table), pairs, placement)
-
-
-def best_pair_placement(pairs: DataFrame, placement: DataFrame, state: DataFrame) -> DataFrame:
-    """The feasible placement of each pair with the least cut traffic, ties by slots.
-
-    Pairs without a feasible placement have no row.
-    """
-    table = _executor_pair_table(pairs, placement, state)
-    return _with_cut(_best_combination(table), pairs, placement)
-
-
-def _with_places(pairs: DataFrame, spots: DataFrame) -> DataFrame:
-    def side(which: str, n: int) -> DataFrame:
-        return spots.select(
-            "topology_id",
-            F.col("unit").alias(which),
-            F.col("place").alias(f"place_{n}"),
-            F.col("load").alias(f"load_{n}"),
-        )
-
-    one = spread_join(pairs, side("first", 1), ["topology_id", "first"], ["second"], "inner")
-    return spread_join(one, side("second", 2), ["topology_id", "second"], ["first"], "inner")
-
-
-def _with_candidates(picked: DataFrame) -> DataFrame:
-    places = F.array_compact(F.array_distinct(F.array("place_1", "place_2", "__pick")))
-    return picked.withColumn("candidates", places).drop("__pick")
-
-
 def score_slot_moves(
     slots: DataFrame,
     slot_node: DataFrame,
@@ -437,69 +216,6 @@ def score_slot_moves(
     )
 
 
-def score_slot_pair_placements(
-    slots: DataFrame,
-    slot_node: DataFrame,
-    slot_loads: DataFrame,
-    nodes: DataFrame,
-    limits: DataFrame,
-) -> DataFrame:
-    """Change in inter-node traffic for every placement of a slot pair on its candidate nodes."""
-    spots = slot_node.join(slot_loads.select(*SLOT, "load"), SLOT).select(
-        "topology_id", F.struct("slot_id").alias("unit"), F.col("node").alias("place"), "load"
-    )
-    pairs = slots.select(
-        "topology_id",
-        F.struct(F.col("slot_a").alias("slot_id")).alias("first"),
-        F.struct(F.col("slot_b").alias("slot_id")).alias("second"),
-        F.col("traffic").alias("w"),
-    )
-    on_node = topology_slots_on_node(slot_node)
-    asked = _with_places(pairs, spots).withColumns(
-        {"k": F.lit(1), "x": F.greatest("load_1", "load_2")}
-    )
-    picked = least_loaded_node(asked, nodes, on_node, limits, name="__pick").drop("k", "x")
-
-    def attach(rows: DataFrame) -> DataFrame:
-        room = nodes.select(
-            F.col("name").alias("place"),
-            F.col("free_ports").alias("__free"),
-            F.col("load").alias("place_load"),
-            F.col("capacity").alias("place_limit"),
-        )
-        mine = on_node.select("topology_id", F.col("node").alias("place"), F.col("slots").alias("__mine"))
-        left = F.col("max_slots") - F.coalesce("__mine", F.lit(0))
-        by = ["first", "second", "place_1", "place_2"]
-        return (
-            rows.transform(spread_join, room, ["place"], by)
-            .transform(spread_join, mine, ["topology_id", "place"], by)
-            .transform(
-                spread_join,
-                limits.select("topology_id", "max_slots"),
-                ["topology_id"],
-                [*by, "place"],
-                "inner",
-            )
-            .withColumn("places", F.least("__free", left))
-        )
-
-    table = _pair_table(
-        _with_candidates(picked),
-        slot_affinity(slots, slot_node).withColumnRenamed("node", "place"),
-        ["slot_id"],
-        attach,
-    )
-    return _every_combination(table).select(
-        "topology_id",
-        F.col("first.slot_id").alias("slot_a"),
-        F.col("second.slot_id").alias("slot_b"),
-        F.col("first_place").alias("node_a"),
-        F.col("second_place").alias("node_b"),
-        "delta",
-        "feasible",
-    )
-
-
 def node_spread_gap(params: DataFrame, slot_node: DataFrame, node: DataFrame) -> DataFrame:
     """Topologies on fewer nodes than their ``beta`` asks for."""
     node_count = node.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()

@@ -167,6 +167,27 @@ class Bridge:
             .select("topology_id", "slot_id", "node")
         )
 
+    @cached_property
+    def part_placement(self) -> DataFrame:
+        """The placement with a third of the executors unplaced."""
+        blank = _div("begin_task", 4) % 3 == 1
+        return self.placement.withColumn("slot_id", F.when(~blank, F.col("slot_id")))
+
+    @cached_property
+    def part_state(self) -> DataFrame:
+        held = slot_occupancy(self.part_placement.filter(F.col("slot_id").isNotNull()))
+        return slot_state(declared_slots(self.params), held, slot_limits(self.params))
+
+    @cached_property
+    def part_slot_node(self) -> DataFrame:
+        """The slots' nodes with some slots unplaced."""
+        return self.slot_node.filter((F.col("slot_id") + F.col("topology_id")) % 3 != 1)
+
+    @cached_property
+    def part_node_state(self) -> DataFrame:
+        ports = ports_per_host(self.node, self.ports)
+        return node_occupancy(self.node, self.part_slot_node, self.occupancy, ports)
+
     @cached_property
     def params(self) -> DataFrame:
         sums = self.load.groupBy("topology_id").agg(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions import params as P
 from flowscope.functions import text as X
-from flowscope.operators import choose, cooldown, history, placement, resolve, rollup, series, sets, whatif
+from flowscope.operators import choose, cooldown, history, pairing, placement, resolve, rollup, series, sets, whatif
 from flowscope.plans import reports
 from flowscope.plans.bridge import Bridge, evaluations_of, receipts_of, snapshot_rows
 from flowscope.runtime import scratch_path
@@ -805,7 +805,7 @@ def _(b: Bridge) -> DataFrame:
 
 @query("score_pair_placements")
 def _(b: Bridge) -> DataFrame:
-    return whatif.score_pair_placements(b.pairs, b.placement, b.state)
+    return pairing.score_pair_placements(b.pairs, b.part_placement, b.part_state)
 
 
 @query("best_move_to_empty")
@@ -817,7 +817,7 @@ def _(b: Bridge) -> DataFrame:
 
 @query("best_pair_placement")
 def _(b: Bridge) -> DataFrame:
-    return whatif.best_pair_placement(b.pairs, b.placement, b.state)
+    return pairing.best_pair_placement(b.pairs, b.part_placement, b.part_state)
 
 
 @query("score_slot_moves")
@@ -829,8 +829,8 @@ def _(b: Bridge) -> DataFrame:
 
 @query("score_slot_pair_placements")
 def _(b: Bridge) -> DataFrame:
-    return whatif.score_slot_pair_placements(
-        b.slot_pairs, b.slot_node, b.occupancy, b.node_state, b.node_limits
+    return pairing.score_slot_pair_placements(
+        b.slot_pairs, b.part_slot_node, b.occupancy, b.part_node_state, b.node_limits
     )
 
 

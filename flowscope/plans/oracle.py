@@ -768,69 +768,113 @@ select e.topology_id, e.slot_id to_slot, b.from_slot, b.begin_task, b.end_task,
 from b_state e join best b on b.topology_id = e.topology_id and b.rn = 1
 left join b_cut c on c.topology_id = e.topology_id where e.executors = 0"""
 
+VIEWS["b_part_slot"] = """
+select topology_id, begin_task, end_task, load, case when begin_task // 4 % 3 = 1 then null else slot_id end slot_id
+from b_exec_slot"""
+
+VIEWS["b_part_state"] = """
+select s.topology_id, s.slot_id, cast(count(p.load) as int) executors, cast(coalesce(sum(p.load), 0) as bigint) load,
+       s.max_executors, s.max_load
+from b_state s left join b_part_slot p on p.topology_id = s.topology_id and p.slot_id = s.slot_id
+group by all"""
+
+# Both directions of every pair with where the ends stand.
+VIEWS["b_part_links"] = """
+with link as (
+  select topology_id, src_begin e, dst_begin f, traffic from b_pairs where src_begin <> dst_begin
+  union all select topology_id, dst_begin, src_begin, traffic from b_pairs where src_begin <> dst_begin
+)
+select l.topology_id, e, f, cast(sum(traffic) as bigint) w, max(a.slot_id) slot_e, max(b.slot_id) slot_f
+from link l join b_part_slot a on a.topology_id = l.topology_id and a.begin_task = e
+join b_part_slot b on b.topology_id = l.topology_id and b.begin_task = f
+group by 1, 2, 3"""
+
+# What a placement changes is summed over the links of the two units, one by one.
 VIEWS["b_scored_pairs"] = """
-with pair as (
-  select topology_id, least(src_begin, dst_begin) first_begin, greatest(src_begin, dst_begin) second_begin,
-         sum(traffic) w
-  from b_pairs where src_begin <> dst_begin group by 1, 2, 3
-), p as (
-  select pair.*, e.end_task first_end, g.end_task second_end, e.slot_id s1, g.slot_id s2, e.load l1, g.load l2
-  from pair
-  join b_exec_slot e on e.topology_id = pair.topology_id and e.begin_task = first_begin
-  join b_exec_slot g on g.topology_id = pair.topology_id and g.begin_task = second_begin
+with p as (
+  select l.topology_id, e first_begin, f second_begin, w, a.end_task first_end, b.end_task second_end,
+         slot_e s1, slot_f s2, a.load l1, b.load l2
+  from b_part_links l join b_part_slot a on a.topology_id = l.topology_id and a.begin_task = e
+  join b_part_slot b on b.topology_id = l.topology_id and b.begin_task = f
+  where e < f
+), free as (
+  select *, max_executors - executors places from b_part_state
 ), pick as (
-  select topology_id, first_begin, second_begin, slot_id from (
-    select p.*, s.slot_id, row_number() over (
-      partition by p.topology_id, first_begin, second_begin order by s.load, s.slot_id) rn
-    from p join b_state s on s.topology_id = p.topology_id
-     and s.max_executors - s.executors >= 1 and s.load + greatest(l1, l2) <= s.max_load) q
-  where rn = 1
-), cand as (
-  select topology_id, first_begin, second_begin, s1 slot_id from p
-  union select topology_id, first_begin, second_begin, s2 from p
-  union select * from pick
+  select p.*, s.slot_id, row_number() over (partition by p.topology_id, first_begin, second_begin order by s.load, s.slot_id) rn
+  from p join free s on s.topology_id = p.topology_id and not (s1 is null and s2 is null)
+   and places >= 1 and s.load + greatest(l1, l2) <= s.max_load
+), joint as (
+  select p.topology_id, first_begin, second_begin, s.slot_id,
+    row_number() over (partition by p.topology_id, first_begin, second_begin order by s.load, s.slot_id) rn
+  from p join free s on s.topology_id = p.topology_id and s1 is null and s2 is null
+   and places >= 2 and s.load + l1 + l2 <= s.max_load
+), own as (
+  select p.*, s.slot_id, row_number() over (partition by p.topology_id, first_begin, second_begin order by s.load, s.slot_id) rn
+  from p join free s on s.topology_id = p.topology_id and s1 is null and s2 is null and places >= 1
+  where (p.topology_id, first_begin, second_begin) not in (select topology_id, first_begin, second_begin from joint)
 ), combo as (
-  select p.*, a.slot_id n1, b.slot_id n2
-  from p join cand a using (topology_id, first_begin, second_begin)
-  join cand b using (topology_id, first_begin, second_begin)
+  select p.*, a.slot_id n1, b.slot_id n2 from p
+  join (select topology_id, first_begin, second_begin, s1 slot_id from p where s1 is not null
+        union select topology_id, first_begin, second_begin, s2 from p where s2 is not null
+        union select topology_id, first_begin, second_begin, slot_id from pick where rn = 1) a
+    using (topology_id, first_begin, second_begin)
+  join (select topology_id, first_begin, second_begin, s1 slot_id from p where s1 is not null
+        union select topology_id, first_begin, second_begin, s2 from p where s2 is not null
+        union select topology_id, first_begin, second_begin, slot_id from pick where rn = 1) b
+    using (topology_id, first_begin, second_begin)
+  union all
+  select p.*, j.slot_id, j.slot_id from p join joint j using (topology_id, first_begin, second_begin) where j.rn = 1
+  union all
+  select p.*, o.slot_id, q.slot_id from p
+  join own o on o.topology_id = p.topology_id and o.first_begin = p.first_begin and o.second_begin = p.second_begin
+   and o.rn = 1
+  join own q on q.topology_id = p.topology_id and q.first_begin = p.first_begin and q.second_begin = p.second_begin
+   and q.rn = 2
+), links as (
+  select topology_id, e unit, slot_f, slot_e, sum(w) w from b_part_links where slot_f is not null group by all
+), cost as (
+  -- links to placed others: what is cut now, and what would be
+  select c.topology_id, c.first_begin, c.second_begin, n1, n2,
+    sum(case when slot_f <> n1 and unit = c.first_begin or slot_f <> n2 and unit = c.second_begin then l.w else 0 end)
+      - sum(case when slot_e is not null and slot_f <> slot_e then l.w else 0 end) change
+  from combo c left join links l on l.topology_id = c.topology_id and (l.unit = c.first_begin or l.unit = c.second_begin)
+  group by 1, 2, 3, 4, 5
+), total as (
+  select topology_id, sum(w) // 2 now from b_part_links where slot_e <> slot_f group by 1
+), fixed as (
+  -- the pair's own link was counted against where its ends stand now: once for each placed partner
+  select c.*, coalesce(now, 0) + change
+    - case when s2 is not null and s2 <> n1 then c.w else 0 end - case when s1 is not null and s1 <> n2 then c.w else 0 end
+    + case when s1 is not null and s2 is not null and s1 <> s2 then c.w else 0 end
+    + case when n1 <> n2 then c.w else 0 end cut
+  from combo c join cost using (topology_id, first_begin, second_begin, n1, n2)
+  left join total t on t.topology_id = c.topology_id
+), moved as (
+  select f.*, slot_id,
+    r.executors - coalesce((slot_id = s1)::int, 0) - coalesce((slot_id = s2)::int, 0)
+      + (slot_id = n1)::int + (slot_id = n2)::int held, r.max_executors,
+    r.load - case when slot_id = s1 then l1 else 0 end - case when slot_id = s2 then l2 else 0 end
+      + case when slot_id = n1 then l1 else 0 end + case when slot_id = n2 then l2 else 0 end carried, r.max_load
+  from fixed f join b_part_state r on r.topology_id = f.topology_id and r.slot_id in (n1, n2)
+), judged as (
+  select topology_id, first_begin, second_begin, n1, n2, any_value(cut) cut,
+    bool_and(held <= max_executors and carried <= max_load) feasible
+  from moved group by 1, 2, 3, 4, 5
 )
-select c.topology_id, c.first_begin, c.first_end, c.second_begin, c.second_end, n1 first_slot, n2 second_slot,
-       cast(t.traffic
-         + coalesce(e_home.affinity, 0) - case when s1 = s2 then w else 0 end
-         - coalesce(e_new.affinity, 0) + case when n1 = s2 then w else 0 end
-         + coalesce(g_home.affinity, 0) - case when s1 = s2 then w else 0 end
-         - coalesce(g_new.affinity, 0) + case when n2 = s1 then w else 0 end
-         + case when n1 <> n2 then w else 0 end - case when s1 <> s2 then w else 0 end as bigint) cut,
-       case when n1 = n2 then
-         r1.max_executors - r1.executors + (n1 = s1)::int + (n1 = s2)::int >= 2
-         and r1.load - case when n1 = s1 then l1 else 0 end - case when n1 = s2 then l2 else 0 end + l1 + l2
-             <= r1.max_load
-       else
-         r1.max_executors - r1.executors + (n1 = s1)::int + (n1 = s2)::int >= 1
-         and r1.load - case when n1 = s1 then l1 else 0 end - case when n1 = s2 then l2 else 0 end + l1 <= r1.max_load
-         and r2.max_executors - r2.executors + (n2 = s1)::int + (n2 = s2)::int >= 1
-         and r2.load - case when n2 = s1 then l1 else 0 end - case when n2 = s2 then l2 else 0 end + l2 <= r2.max_load
-       end feasible
-from combo c
-join b_cut t on t.topology_id = c.topology_id
-join b_state r1 on r1.topology_id = c.topology_id and r1.slot_id = n1
-join b_state r2 on r2.topology_id = c.topology_id and r2.slot_id = n2
-left join b_affinity e_home on e_home.topology_id = c.topology_id and e_home.begin_task = first_begin
-  and e_home.slot_id = s1
-left join b_affinity e_new on e_new.topology_id = c.topology_id and e_new.begin_task = first_begin
-  and e_new.slot_id = n1
-left join b_affinity g_home on g_home.topology_id = c.topology_id and g_home.begin_task = second_begin
-  and g_home.slot_id = s2
-left join b_affinity g_new on g_new.topology_id = c.topology_id and g_new.begin_task = second_begin
-  and g_new.slot_id = n2"""
+select p.topology_id, p.first_begin, p.first_end, p.second_begin, p.second_end, n1 first_slot, n2 second_slot,
+       cast(cut as bigint) cut, coalesce(feasible, false) feasible
+from p left join judged using (topology_id, first_begin, second_begin)"""
 
 QUERY_SQL["score_pair_placements"] = "select * from b_scored_pairs"
 
 QUERY_SQL["best_pair_placement"] = """
-select topology_id, first_begin, first_end, second_begin, second_end, cut, first_slot, second_slot from (
+select topology_id, first_begin, first_end, second_begin, second_end,
+       case when feasible then cut end cut, case when feasible then first_slot end first_slot,
+       case when feasible then second_slot end second_slot
+from (
   select *, row_number() over (partition by topology_id, first_begin, second_begin
-                               order by cut, first_slot, second_slot) rn
-  from b_scored_pairs where feasible) q
+                               order by feasible desc, cut, first_slot, second_slot) rn
+  from b_scored_pairs) q
 where rn = 1"""
 
 QUERY_SQL["score_slot_moves"] = """
@@ -843,51 +887,78 @@ left join b_slot_affinity h on h.topology_id = s.topology_id and h.slot_id = s.s
 left join b_slot_affinity t on t.topology_id = s.topology_id and t.slot_id = s.slot_id and t.node = p.node
 where p.node is not null"""
 
+VIEWS["b_part_node"] = """
+select * from b_slot_node where (slot_id + topology_id) % 3 <> 1"""
+
+VIEWS["b_part_room"] = """
+select n.name, t.topology_id, n.capacity, l.max_slots, coalesce(n.ports, 0) - coalesce(u.slots, 0) free_ports,
+       coalesce(u.load, 0) load, coalesce(o.slots, 0) here
+from b_node_state n cross join b_topology t join b_limits l using (topology_id)
+left join (select node, count(*) slots, cast(sum(load) as bigint) load
+           from b_part_node join b_occupancy using (topology_id, slot_id) group by 1) u on u.node = n.name
+left join (select node, topology_id, count(*) slots from b_part_node group by 1, 2) o
+  on o.node = n.name and o.topology_id = t.topology_id"""
+
 QUERY_SQL["score_slot_pair_placements"] = """
-with p as (
-  select q.*, a.load l1, b.load l2 from b_slot_pairs_placed q
-  join b_occupancy a on a.topology_id = q.topology_id and a.slot_id = q.slot_a
-  join b_occupancy b on b.topology_id = q.topology_id and b.slot_id = q.slot_b
+with x as (
+  select q.topology_id, q.slot_a, q.slot_b, q.traffic, a.node node_of_a, b.node node_of_b
+  from b_slot_pairs q left join b_part_node a on a.topology_id = q.topology_id and a.slot_id = q.slot_a
+  left join b_part_node b on b.topology_id = q.topology_id and b.slot_id = q.slot_b
+), p as (
+  select x.*, a.load l1, b.load l2 from x
+  join b_occupancy a on a.topology_id = x.topology_id and a.slot_id = x.slot_a
+  join b_occupancy b on b.topology_id = x.topology_id and b.slot_id = x.slot_b
+), pick as (
+  select p.*, r.name, row_number() over (partition by p.topology_id, slot_a, slot_b order by r.load, r.name) rn
+  from p join b_part_room r on r.topology_id = p.topology_id and coalesce(node_of_a, node_of_b) is not null
+   and r.free_ports >= 1 and r.here + 1 <= r.max_slots and r.load + greatest(l1, l2) <= r.capacity
+), joint as (
+  select p.*, r.name, row_number() over (partition by p.topology_id, slot_a, slot_b order by r.load, r.name) rn
+  from p join b_part_room r on r.topology_id = p.topology_id and coalesce(node_of_a, node_of_b) is null
+   and r.free_ports >= 2 and r.here + 2 <= r.max_slots and r.load + l1 + l2 <= r.capacity
+), first as (
+  select p.*, r.name, row_number() over (partition by p.topology_id, slot_a, slot_b order by r.load, r.name) rn
+  from p join b_part_room r on r.topology_id = p.topology_id and coalesce(node_of_a, node_of_b) is null
+   and r.free_ports >= 1 and r.here + 1 <= r.max_slots and r.load + l1 <= r.capacity
+  where (p.topology_id, slot_a, slot_b) not in (select topology_id, slot_a, slot_b from joint)
+), second as (
+  select f.*, r.name other, row_number() over (partition by f.topology_id, slot_a, slot_b order by r.load, r.name) rk
+  from first f join b_part_room r on f.rn = 1 and r.topology_id = f.topology_id and r.name <> f.name
+   and r.free_ports >= 1 and r.here + 1 <= r.max_slots and r.load + l2 <= r.capacity
 ), cand as (
-  select topology_id, slot_a, slot_b, node_of_a node from p
-  union select topology_id, slot_a, slot_b, node_of_b from p
-  union select topology_id, slot_a, slot_b, node from b_node_picked where form = 'heavier' and node is not null
+  select topology_id, slot_a, slot_b, node_of_a node from p where node_of_a is not null
+  union select topology_id, slot_a, slot_b, node_of_b from p where node_of_b is not null
+  union select topology_id, slot_a, slot_b, name from pick where rn = 1
 ), combo as (
   select p.*, a.node n1, b.node n2 from p join cand a using (topology_id, slot_a, slot_b)
   join cand b using (topology_id, slot_a, slot_b)
+  union all select * exclude (name, rn), name, name from joint where rn = 1
+  union all select * exclude (name, rn, other, rk), name, other from second where rk = 1
 ), placed as (
   -- where every slot of the topology would sit under each combination
-  select c.topology_id, c.slot_a, c.slot_b, n1, n2, x.slot_a p, x.slot_b q, x.traffic,
+  select c.topology_id, c.slot_a, c.slot_b, n1, n2, x.traffic,
          case when x.slot_a = c.slot_a then n1 when x.slot_a = c.slot_b then n2 else x.node_of_a end np,
          case when x.slot_b = c.slot_a then n1 when x.slot_b = c.slot_b then n2 else x.node_of_b end nq,
          x.node_of_a op, x.node_of_b oq
-  from combo c join b_slot_pairs_placed x on x.topology_id = c.topology_id
+  from combo c join x on x.topology_id = c.topology_id
 ), change as (
   select topology_id, slot_a, slot_b, n1, n2,
          cast(sum(case when np <> nq then traffic else 0 end) - sum(case when op <> oq then traffic else 0 end)
               as bigint) delta
   from placed group by 1, 2, 3, 4, 5
-), room as (
-  select n.name, t.topology_id, n.free_ports, n.load, n.capacity, coalesce(o.slots, 0) here, l.max_slots
-  from b_node_state n cross join b_topology t join b_limits l on l.topology_id = t.topology_id
-  left join b_on_node o on o.node = n.name and o.topology_id = t.topology_id
+), moved as (
+  select c.*, r.name,
+    least(r.free_ports, r.max_slots - r.here) + coalesce((name = node_of_a)::int, 0) + coalesce((name = node_of_b)::int, 0)
+      - (name = n1)::int - (name = n2)::int room,
+    r.load - case when name = node_of_a then l1 else 0 end - case when name = node_of_b then l2 else 0 end
+      + case when name = n1 then l1 else 0 end + case when name = n2 then l2 else 0 end carried, r.capacity
+  from combo c join b_part_room r on r.topology_id = c.topology_id and r.name in (n1, n2)
+), judged as (
+  select topology_id, slot_a, slot_b, n1, n2, bool_and(room >= 0 and carried <= capacity) feasible
+  from moved group by 1, 2, 3, 4, 5
 )
-select c.topology_id, c.slot_a, c.slot_b, c.n1 node_a, c.n2 node_b, d.delta,
-  case when c.n1 = c.n2 then
-    least(r1.free_ports, r1.max_slots - r1.here) + (c.n1 = node_of_a)::int + (c.n1 = node_of_b)::int >= 2
-    and r1.load - case when c.n1 = node_of_a then l1 else 0 end - case when c.n1 = node_of_b then l2 else 0 end
-        + l1 + l2 <= r1.capacity
-  else
-    least(r1.free_ports, r1.max_slots - r1.here) + (c.n1 = node_of_a)::int + (c.n1 = node_of_b)::int >= 1
-    and r1.load - case when c.n1 = node_of_a then l1 else 0 end - case when c.n1 = node_of_b then l2 else 0 end
-        + l1 <= r1.capacity
-    and least(r2.free_ports, r2.max_slots - r2.here) + (c.n2 = node_of_a)::int + (c.n2 = node_of_b)::int >= 1
-    and r2.load - case when c.n2 = node_of_a then l1 else 0 end - case when c.n2 = node_of_b then l2 else 0 end
-        + l2 <= r2.capacity
-  end feasible
-from combo c join change d using (topology_id, slot_a, slot_b, n1, n2)
-join room r1 on r1.topology_id = c.topology_id and r1.name = c.n1
-join room r2 on r2.topology_id = c.topology_id and r2.name = c.n2"""
+select p.topology_id, p.slot_a, p.slot_b, n1 node_a, n2 node_b, delta, coalesce(feasible, false) feasible
+from p left join (judged join change using (topology_id, slot_a, slot_b, n1, n2)) using (topology_id, slot_a, slot_b)"""
 
 QUERY_SQL["node_spread_gap"] = """
 select topology_id, cast(u.n as int) node_count, nodes_to_use, cast(nodes_to_use - u.n as int) gap

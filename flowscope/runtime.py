@@ -77,3 +77,10 @@ def stored(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> D
         df.write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, however often it is used."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from conftest import as_set
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowscope.operators import choose, resolve, rollup, whatif
+from flowscope.operators import choose, resolve, pairing, rollup, whatif
 from flowscope.operators.numbering import hierarchical_rank, number_keys
 
 LOAD = "topology_id int, begin_task int, end_task int, load long, node string"
@@ -156,7 +156,7 @@ def test_pair_placements_match_recomputation(spark, graph, slots, places, limit)
     def cut(where):
         return sum(w for (a, b), w in weight.items() if where[a] != where[b])
 
-    scored = whatif.score_pair_placements(pairs, placement, state).collect()
+    scored = pairing.score_pair_placements(pairs, placement, state).collect()
     seen: dict[tuple[int, int], set] = {}
     for r in scored:
         e, g = r.first_begin, r.second_begin
