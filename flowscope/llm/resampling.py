@@ -191,7 +191,8 @@ def ranked(scored: DataFrame, eligible: str, share_pct: int) -> DataFrame:
     Rows are dealt by ranges of (score, id) and stored, so that a rank is a count of earlier
     ranges, one number each, and a row number inside one.
     """
-    apart = scored.withColumn("row", F.monotonically_increasing_id())
+    # Stored first, as ranges are found by a look at all rows before they are dealt.
+    apart = cut(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
     order = [F.desc("score"), F.asc_nulls_first("doc_id"), F.asc("row")]
     dealt = apart.repartitionByRange(F.desc(eligible), *order).withColumn("range", F.spark_partition_id())
     dealt = cut(dealt, "ranges")
