@@ -14,6 +14,8 @@ an empty result.  Only texts longer than a sequence are cut.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,14 +35,24 @@ from flowscope.llm.tables import cut, fresh, lean, only
 SHARD_PIECES = 25_000
 BLOCK = 4 << 20
 KNOWN_RUNS = 500_000
+KNOWN_WORDS = 300_000
 SHORT = 7
 # Runs encoded at a time: the library's results are much larger than the ids taken from them.
 ENCODED = 10_000
+JOINED = 200
 UNDERFULL = 0.985
 # Turns of dealing; a turn's number takes five bits of the sequence ids.
 MAX_TURNS = 31
 # Blanks to str.split() that this library's \s leaves inside words.
 _SEPARATOR_CONTROLS = "\x1c\x1d\x1e\x1f"
+# How a tokenizer has to cut normalized runs into words for its words to be kept too.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+NORMAL = ["NFC", "Replace", "Lowercase"]
+# The same for characters up to the end of Latin Extended-B, whose classes are settled; the
+# numbers among them that are no digits are named.  Other runs are left to the tokenizer whole.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+_UNSETTLED = re.compile(r"[\x1c-\x1f\u0130\u0250-\U0010ffff]|<\|")
 
 
 @lru_cache(maxsize=2)
@@ -48,17 +60,36 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def _cuts_words(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer lower-cases runs and cuts them by ``WORDS``."""
+    told = json.loads(tokenizer.to_str())
+    normal, cut = told["normalizer"] or {}, told["pre_tokenizer"] or {}
+    first = cut.get("pretokenizers", [{}])[0]
+    return (
+        [n["type"] for n in normal.get("normalizers", [])] == NORMAL
+        and first.get("pattern") == {"Regex": WORDS}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and told["model"].get("end_of_word_suffix") == WORD_END
+        and all(a["special"] and a["content"].startswith("<|") for a in told["added_tokens"])
+    )
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes, each white-space delimited run once.
 
     Only for tokenizers that drop white space and split at it: then a text's ids are those
-    of its runs in a row.  What else the tokenizer does, it does itself, run by run.  The
-    runs kept are bounded; when there are more, long ones are forgotten and tokenized again.
+    of its runs in a row.  Where the tokenizer's way of cutting runs into words is known, a run's
+    ids are those of its words, and each word is tokenized once; what else the tokenizer does,
+    it does itself.  What is kept is bounded; when there is more, the long is forgotten and
+    tokenized again.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] | None = {} if _cuts_words(self.tokenizer) else None
+        self.closing = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
         probe = "a bc\n\n d.e\tf"
         if self._encode([probe])[0] != b"".join(self._encode(probe.split())):
             raise ValueError("this tokenizer's ids depend on white space")
@@ -73,23 +104,57 @@ class Ids:
             out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    def _forget(self) -> None:
-        """Keeps the short runs, which come again most often, unless they are too many themselves."""
-        self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
-        if len(self.known) > KNOWN_RUNS // 2:
-            self.known = {}
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, many of them tokenized as one string: each ends with a token that ends a word."""
+        out = []
+        for at in range(0, len(words), ENCODED):
+            part = words[at : at + ENCODED]
+            strings = [" ".join(part[k : k + JOINED]) for k in range(0, len(part), JOINED)]
+            encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+            flat = np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u4")
+            ends = (4 * np.flatnonzero(self.closing[flat]) + 4).tolist()
+            if len(ends) != len(part):
+                out += self._encode(part)
+                continue
+            data = flat.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        if self.words is None:
+            return self._encode(runs)
+        if len(self.words) > KNOWN_WORDS:
+            self.words = _without_long(self.words, KNOWN_WORDS)
+        joined = "\n".join(runs)
+        if _UNSETTLED.search(joined):
+            whole = [i for i, r in enumerate(runs) if _UNSETTLED.search(r)]
+            out = dict(zip(whole, self._encode([runs[i] for i in whole]), strict=True))
+            rest = [r for i, r in enumerate(runs) if i not in out]
+            others = iter(self._runs(rest) if rest else [])
+            return [out[i] if i in out else next(others) for i in range(len(runs))]
+        cut = list(map(_WORD.findall, joined.lower().split("\n"))) if runs else []
+        new = list(set(chain.from_iterable(cut)).difference(self.words))
+        self.words.update(zip(new, self._words(new), strict=True))
+        get = self.words.__getitem__
+        return [get(words[0]) if len(words) == 1 else b"".join(map(get, words)) for words in cut]
 
     def texts(self, block: list[str]) -> Iterator[bytes]:
         split = [[t] if any(c in t for c in _SEPARATOR_CONTROLS) else t.split() for t in block]
         if len(self.known) > KNOWN_RUNS:
-            self._forget()
-        new = list({r for runs in split for r in runs if r not in self.known})
-        self.known.update(zip(new, self._encode(new), strict=True))
+            self.known = _without_long(self.known, KNOWN_RUNS)
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        self.known.update(zip(new, self._runs(new), strict=True))
         get = self.known.__getitem__
         for runs in split:
             yield b"".join(map(get, runs))
 
 
+def _without_long(known: dict[str, bytes], most: int) -> dict[str, bytes]:
+    """Keeps the short ones, which come again most often, unless they are too many themselves."""
+    short = {k: v for k, v in known.items() if len(k) <= SHORT}
+    return short if len(short) <= most // 2 else {}
+
+
 @lru_cache(maxsize=1)
 def _ids(path: str) -> Ids:
     """One a worker, so that later tasks profit from the runs it knows."""
