@@ -13,11 +13,11 @@ empty are not learned.  Repeated rows are judged row by row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,8 @@ PIECE = 1 << 16
 MIN_MARGIN = 0.02
 FULL_MARGIN = 0.2
 MAX_LANGUAGES = 512
-_LETTER = re.compile(r"[^\W\d_]")
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def _words(text: str) -> bytes:

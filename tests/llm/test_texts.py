@@ -156,18 +156,28 @@ def test_language_id(spark):
         words = ["".join(rng.choices(sounds[lang], k=rng.randint(1, 4))) for _ in range(40)]
         rows.append((i, " ".join(words), lang, None))
     rows += [(900, None, "aa", None), (901, "12 3!", "aa", None), (902, "", None, None), (None, rows[1][1], "", None)]
+    rows += [(903, "½ ② ³ Ⅷ _ 7", "aa", None)]
     df = clashing(spark.createDataFrame(rows, DOCS))
     learned = language_id.learn(df, df["doc_id"] % 4 != 2, order="doc_id")
     assert sorted(learned) == ["aa", "bb", "cc"]
     got = {r["doc_id"]: r for r in language_id.classify(df, learned).collect()}
     held = [got[i]["lang_pred"] == lang for i, _, lang, _ in rows[:300] if i % 4 == 2]
     assert sum(held) / len(held) > 0.97
-    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[None]["lang_pred"] == "bb"
+    assert [got[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und"] * 4 and got[None]["lang_pred"] == "bb"
     assert not got[900]["accepted"] and all(0 <= r["score"] <= 1 for r in got.values())
     assert {r["lang_pred"] for r in language_id.classify(df, {}).collect()} == {"und"}
     assert language_id.classify(spark.createDataFrame([], DOCS), learned).count() == 0
 
 
+def test_words_below_runs_equal_the_tokenizer():
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids.words is not None
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}'s A{chr(c)}'LL" for c in range(1, 0x300)]
+    texts += ["it's don't_a x²y³ 1234 ''ll", "a<|endoftext|>b <|startoftext|> <|", "中文 e\u0301 İx ﬁ", "", " \n"]
+    whole = [e.ids for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.texts(texts)] == whole
+
+
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_PIECES", 40)
     rng = random.Random(6)
