@@ -19,7 +19,7 @@ from flowscope.runtime import scratch_path
 from flowscope.schema import EXECUTOR, SLOT
 from flowscope.sources import cpuinfo, latest, tables
 from flowscope.streaming import decisions, stats
-from flowscope.streaming.sources import read_files, run_to_end, with_event_time
+from flowscope.streaming.sources import append_end_marker, read_files, run_to_end, with_event_time
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -898,7 +898,7 @@ def _(b: Bridge) -> DataFrame:
 # Streams --------------------------------------------------------------------------
 #
 # Each query runs its stream to the present end of a file source and reads the
-# sink back.  Windows still open at the end are not emitted.
+# sink back.  Where windows are to close, the source ends with a marker.
 
 DELAY = "1 hour"
 
@@ -908,6 +908,17 @@ def _event_stream(b: Bridge) -> DataFrame:
     return with_event_time(read_files(b.spark, b.sf_dir, schema, pattern="events.parquet"))
 
 
+def _ended_events(b: Bridge, slot_length: str) -> DataFrame:
+    """The events in a folder of their own, ended after the last slot."""
+    events = b.table("events")
+    path = f"{scratch_path(b.spark, 'events')}/in"
+    events.write.parquet(path)
+    last = events.agg(F.max("ts")).first()[0]
+    if last is not None:
+        append_end_marker(b.spark, path, events.schema, last, slot_length, DELAY)
+    return with_event_time(read_files(b.spark, path, events.schema))
+
+
 def _landed(b: Bridge, stream: DataFrame, label: str) -> tuple[DataFrame, str]:
     root = scratch_path(b.spark, label)
     run_to_end(stream, f"{root}/out", f"{root}/checkpoint")
@@ -927,7 +938,7 @@ def _(b: Bridge) -> DataFrame:
 
 
 def _stream_counts(b: Bridge) -> DataFrame:
-    return stats.stream_tuple_counts(receipts_of(_event_stream(b)), SLOT_LENGTH, DELAY)
+    return stats.stream_tuple_counts(receipts_of(_ended_events(b, SLOT_LENGTH)), SLOT_LENGTH, DELAY)
 
 
 def _stream_rates(b: Bridge) -> DataFrame:
@@ -961,7 +972,7 @@ def _(b: Bridge) -> DataFrame:
 @query("stream_upsert_stats")
 def _(b: Bridge) -> DataFrame:
     root = scratch_path(b.spark, "stats")
-    rates = _stream_rates(b)
+    rates = _stream_rates(b).filter("rate is not null")  # late samples have none
     stats.store_stats(rates, f"{root}/log", f"{root}/checkpoint").awaitTermination()
     log = stats.read_stats(b.spark, f"{root}/log", rates.schema)
     keys = ["topology_key", "source_task", "destination_task"]
@@ -977,7 +988,7 @@ def _(b: Bridge) -> DataFrame:
 
 @query("stream_assignment_changes")
 def _(b: Bridge) -> DataFrame:
-    rows = snapshot_rows(_event_stream(b)).withColumn("cluster", F.lit("main"))
+    rows = snapshot_rows(_ended_events(b, "1 day")).withColumn("cluster", F.lit("main"))
     marks = _relay(b, decisions.stream_fingerprints(rows, "1 day", DELAY), "fingerprints")
     landed, _ = _landed(b, decisions.stream_assignment_changes(marks), "changes")
     return landed.select(F.date_format("snapshot", "yyyy-MM-dd").alias("snapshot"))

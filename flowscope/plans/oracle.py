@@ -1066,16 +1066,14 @@ group by 1, 2"""
 
 # Streams: what is closed when the watermark stands one hour before the last event.
 
-VIEWS["b_closed_counts"] = """
+VIEWS["b_slot_counts"] = """
 select time_bucket(interval '6 hours', ts) slot, topology_key, source_task, destination_task, count(*) tuples
-from b_receipts group by 1, 2, 3, 4
-having time_bucket(interval '6 hours', ts) + interval '6 hours'
-       <= (select max(ts) from events) - interval '1 hour'"""
+from b_receipts group by 1, 2, 3, 4"""
 
-VIEWS["b_closed_rates"] = """
+VIEWS["b_slot_rates"] = """
 select topology_key, source_task, destination_task, slot,
        cast(sum(tuples * 21600) over w // (count(*) over w * 5000) as bigint) rate
-from b_closed_counts window w as (
+from b_slot_counts window w as (
   partition by topology_key, source_task, destination_task order by slot rows between 5 preceding and current row)"""
 
 QUERY_SQL["stream_receipts"] = """
@@ -1083,25 +1081,24 @@ select topology_key, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, event_id, source_task
 
 QUERY_SQL["stream_tuple_counts"] = """
 select strftime(slot, '%Y-%m-%d %H:%M:%S') slot_start, topology_key, source_task, destination_task, tuples
-from b_closed_counts"""
+from b_slot_counts"""
 
 QUERY_SQL["stream_moving_rate"] = """
 select topology_key, source_task, destination_task, strftime(slot, '%Y-%m-%d %H:%M:%S') slot_start, rate
-from b_closed_rates"""
+from b_slot_rates"""
 
 QUERY_SQL["stream_counter_delta"] = QUERY_SQL["counter_delta"]
 
 QUERY_SQL["stream_upsert_stats"] = """
 select topology_key, source_task, destination_task, rate from (
   select *, row_number() over (partition by topology_key, source_task, destination_task order by slot desc) rn
-  from b_closed_rates) q
+  from b_slot_rates) q
 where rn = 1"""
 
 QUERY_SQL["stream_cooldown_alerts"] = QUERY_SQL["cooldown_alerts"]
 
 QUERY_SQL["stream_assignment_changes"] = """
-select strftime(snapshot, '%Y-%m-%d') snapshot from b_changes
-where snapshot + interval '1 day' <= (select max(ts) from events) - interval '1 hour'"""
+select strftime(snapshot, '%Y-%m-%d') snapshot from b_changes"""
 
 
 def _closure(sql: str) -> list[str]:

@@ -40,13 +40,15 @@ def stream_cooldown_alerts(evaluations: DataFrame) -> DataFrame:
 def stream_fingerprints(rows: DataFrame, every: str, delay: str) -> DataFrame:
     """A digest of each closed snapshot from rows ``ts, cluster, host, port, executor``.
 
-    A snapshot is all rows of one ``every`` window.
+    A snapshot is all rows of one ``every`` window.  A row without a host is an end marker
+    (``sources.append_end_marker``): it closes the snapshots before it.
     """
     content = F.array_sort(F.collect_set(F.struct("host", "port", "executor")))
     return (
         rows.withWatermark("ts", delay)
         .groupBy(F.window("ts", every).alias("__w"), "cluster")
-        .agg(F.sha2(F.to_json(content), 256).alias("fingerprint"))
+        .agg(F.sha2(F.to_json(content), 256).alias("fingerprint"), F.count("host").alias("__rows"))
+        .filter("__rows > 0")
         .select("cluster", F.col("__w.start").alias("snapshot"), "fingerprint")
     )
 

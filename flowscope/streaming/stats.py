@@ -16,13 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowscope.operators.series import tuple_counts
+PAIR = ["topology_key", "source_task", "destination_task"]
 
 
 def stream_tuple_counts(receipts: DataFrame, slot_length: str, delay: str) -> DataFrame:
     """Counts per closed slot.  Receipts later than ``delay`` are dropped; Spark
-    reports how many in the query progress (``numRowsDroppedByWatermark``)."""
-    return tuple_counts(receipts.withWatermark("ts", delay), slot_length)
+    reports how many in the query progress (``numRowsDroppedByWatermark``).
+
+    A row without a topology is an end marker (``sources.append_end_marker``): it closes the slots
+    before it and counts nothing.  It is told by its count, not by a filter on the key, which
+    would be pushed below the watermark and hide the marker from it.
+    """
+    slot = F.window("ts", slot_length).alias("__w")
+    counted = receipts.withWatermark("ts", delay).groupBy(slot, *PAIR).agg(F.count(PAIR[0]).alias("tuples"))
+    return counted.filter("tuples > 0").select(F.col("__w.start").alias("slot_start"), *PAIR, "tuples")
 
 
 def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -31,9 +38,6 @@ def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame
     return rows if len(rows) == 1 else rows.sort_values(order, kind="stable")
 
 
-PAIR = ["topology_key", "source_task", "destination_task"]
-
-
 def _rolling(rows: pd.DataFrame, slots: int, slot_length: int) -> pd.DataFrame:
     """Rates of rows sorted by pair and slot, over the last ``slots`` rows of each pair."""
     by_pair = rows.groupby(PAIR, sort=False)
@@ -55,7 +59,8 @@ def stream_moving_rate(
     together as arrays: a Python call per pair would cost far more than the
     sums.  State of a bucket: the samples its pairs still need.  Choose about
     one bucket per few thousand pairs; the number is fixed once a checkpoint
-    exists.  Samples not newer than a pair's newest one are ignored.
+    exists.  A sample not newer than one of its pair in an earlier micro-batch comes too late to
+    be placed: it is passed on with a null ``rate``, so that it can be counted, and changes nothing.
     """
     output = (
         "topology_key string, source_task int, destination_task int, slot_start timestamp, rate long"
@@ -69,18 +74,21 @@ def stream_moving_rate(
             slot=fresh["slot_start"].astype("datetime64[us]").astype("int64"), __new=True
         )[[*columns, "__new"]]
         old = pd.DataFrame(dict(zip(columns, state.get, strict=True))) if state.exists else None
+        missed = fresh.iloc[:0]
         if old is None or old.empty:
             rows = fresh
         else:
             newest = old.groupby(PAIR)["slot"].max().rename("__newest").reset_index()
             known = fresh.merge(newest, on=PAIR, how="left")
             late = known["slot"] <= known["__newest"].fillna(np.iinfo("int64").min)
+            missed = known[late]
             fresh = known[~late].drop(columns="__newest")
             rows = pd.concat([old.assign(__new=False), fresh], ignore_index=True)
         rated = _rolling(rows.sort_values([*PAIR, "slot"], ignore_index=True), slots, slot_length)
         kept = rated[rated["__left"] < keep]
         state.update(tuple(kept[c].tolist() for c in columns))
-        out = rated[rated["__new"].astype(bool)]
+        rated = rated.astype({"rate": "Int64"})
+        out = pd.concat([rated[rated["__new"].astype(bool)], missed.assign(rate=pd.array([pd.NA] * len(missed), "Int64"))])
         yield out.assign(slot_start=pd.to_datetime(out["slot"], unit="us"))[
             [*PAIR, "slot_start", "rate"]
         ]

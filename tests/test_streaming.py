@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowscope.operators import cooldown, history, series
 from flowscope.schema import RECEIPT
 from flowscope.streaming import decisions, stats
-from flowscope.streaming.sources import read_files, receipts_from_json, run_to_end
+from flowscope.streaming.sources import append_end_marker, read_files, receipts_from_json, run_to_end
 
 DAY0 = dt.datetime(2024, 1, 1)
 RECEIPTS = "ts timestamp, topology_key string, source_task int, destination_task int"
@@ -139,3 +139,36 @@ def test_json_messages(spark):
     parsed = receipts_from_json(spark.createDataFrame([(bytearray(body, "utf8"),)], "value binary"))
     assert parsed.columns == RECEIPT.fieldNames()
     assert as_set(parsed, "topology_key", "source_task", "destination_task") == {("x", 1, 2)}
+
+
+def test_an_end_marker_closes_the_last_slot(spark, tmp_path, receipts):
+    """Twice: with more files after the first marker, whose slots are still in time."""
+    first, second = receipts[0] + receipts[1], receipts[2] + receipts[3]
+    cut = max(r[0] for r in first).replace(second=0) + dt.timedelta(minutes=10)
+    second = [r for r in second if r[0] >= cut]  # the next slot and later
+    done: list = []
+    for batch in (first, second):
+        source = feed(spark, tmp_path, RECEIPTS, [batch])
+        last = max(r[0] for r in batch)
+        append_end_marker(spark, f"{tmp_path}/in", source.schema, last, "10 minutes", "1 minute")
+        counts = landed(spark, stats.stream_tuple_counts(source, "10 minutes", "1 minute"), tmp_path, "ended")
+        done += batch
+        expected = series.tuple_counts(spark.createDataFrame(done, RECEIPTS), "10 minutes")
+        assert as_set(counts) == as_set(expected)
+
+
+def test_a_late_count_is_passed_on_without_a_rate(spark, tmp_path):
+    schema = "slot_start timestamp, topology_key string, source_task int, destination_task int, tuples long"
+    rows = [(DAY0 + dt.timedelta(minutes=m), "x", 0, 1, n) for m, n in ((0, 4), (20, 8), (10, 99), (30, 6))]
+    source = feed(spark, tmp_path, schema, [rows[:2], rows[2:]])
+    got = landed(spark, stats.stream_moving_rate(source, 2, 2), tmp_path, "late-rates")
+    assert {((r.slot_start - DAY0).seconds // 60, r.rate) for r in got.collect()} == {(0, 2), (20, 3), (10, None), (30, 3)}
+
+
+def test_a_marker_closes_the_last_snapshot(spark, tmp_path):
+    schema = "ts timestamp, cluster string, host string, port int, executor string"
+    rows = [(DAY0 + dt.timedelta(days=d), "c", "a", 1, "xyy"[d]) for d in range(3)]
+    source = feed(spark, tmp_path, schema, [rows])
+    append_end_marker(spark, f"{tmp_path}/in", source.schema, rows[-1][0], "1 day", "1 hour")
+    marks = landed(spark, decisions.stream_fingerprints(source, "1 day", "1 hour"), tmp_path, "all-marks")
+    assert {r.snapshot for r in marks.collect()} == {r[0] for r in rows}
