@@ -18,6 +18,7 @@ from flowscope.plans.bridge import Bridge, evaluations_of, receipts_of, snapshot
 from flowscope.runtime import scratch_path
 from flowscope.schema import EXECUTOR, SLOT
 from flowscope.sources import cpuinfo, latest, tables
+from flowscope.sources.changelog import ChangeLog
 from flowscope.streaming import decisions, stats
 from flowscope.streaming.sources import append_end_marker, read_files, run_to_end, with_event_time
 
@@ -87,20 +88,26 @@ def _altered(df: DataFrame, value: str, keep: Column) -> DataFrame:
     return df.filter(keep).withColumn(value, F.col(value) * 2 + 1)
 
 
-def _log(first: DataFrame, second: DataFrame) -> DataFrame:
-    return first.withColumn("version", F.lit(1)).unionByName(second.withColumn("version", F.lit(2)))
+def _compacted(b: Bridge, label: str, keys: list[str], first: DataFrame, second: DataFrame) -> DataFrame:
+    """The latest values of two deliveries, the first one in the base by then, the second in the tail."""
+    deliveries = [df.withColumn("version", F.lit(n)) for n, df in ((1, first), (2, second))]
+    log = ChangeLog(b.spark, scratch_path(b.spark, label), deliveries[0].schema, tuple(keys), ("version",), parts=16)
+    log.append(deliveries[0], "1")
+    log.compact()
+    log.append(deliveries[1], "2")
+    return log.current()
 
 
 @query("upsert_load")
 def _(b: Bridge) -> DataFrame:
     later = _altered(b.load, "load", F.col("begin_task") % 3 == 0).withColumn("node", F.lit("MOVED"))
-    return latest.latest_load(_log(b.load, later))
+    return _compacted(b, "load-log", EXECUTOR, b.load, later)
 
 
 @query("upsert_traffic")
 def _(b: Bridge) -> DataFrame:
     later = _altered(b.traffic, "traffic", F.col("destination_task") % 3 == 0)
-    return latest.latest_traffic(_log(b.traffic, later))
+    return _compacted(b, "traffic-log", latest.TRAFFIC_KEY, b.traffic, later)
 
 
 @query("upsert_node")
@@ -973,10 +980,9 @@ def _(b: Bridge) -> DataFrame:
 def _(b: Bridge) -> DataFrame:
     root = scratch_path(b.spark, "stats")
     rates = _stream_rates(b).filter("rate is not null")  # late samples have none
-    stats.store_stats(rates, f"{root}/log", f"{root}/checkpoint").awaitTermination()
-    log = stats.read_stats(b.spark, f"{root}/log", rates.schema)
-    keys = ["topology_key", "source_task", "destination_task"]
-    return latest.latest(log, keys, ["slot_start"])
+    log = ChangeLog(b.spark, f"{root}/log", rates.schema, tuple(stats.PAIR), ("slot_start",), parts=16)
+    stats.store_changes(rates, log, f"{root}/checkpoint", compact_every=1).awaitTermination()
+    return log.current()
 
 
 @query("stream_cooldown_alerts")

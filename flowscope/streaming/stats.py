@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flowscope.sources.changelog import ChangeLog
+
 PAIR = ["topology_key", "source_task", "destination_task"]
 
 
@@ -162,6 +164,25 @@ def store_stats(stats: DataFrame, path: str, checkpoint: str, every: str | None
     )
 
 
+def store_changes(
+    stats: DataFrame, log: ChangeLog, checkpoint: str, every: str | None = None, compact_every: int | None = None
+):
+    """Like ``store_stats``, into a change log that is compacted after every so many micro-batches."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        log.append(batch, f"batch-{batch_id:012d}")
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            log.compact()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (
+        stats.writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
 def read_stats(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The change log that ``store_stats`` wrote."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
