@@ -58,19 +58,32 @@ def serialize_assignment(snapshots: DataFrame, keys: Sequence[str] = ("snapshot"
     )
 
 
-def fingerprints(snapshots: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
-    """A 256-bit digest of each snapshot's content; order and duplicates do not matter."""
-    per_host = (
-        slot_contents(snapshots, keys)
-        .groupBy(*keys, "host")
-        .agg(F.array_sort(F.collect_list(F.struct("port", "executors"))).alias("__slots"))
-        .select(*keys, "host", F.sha2(F.to_json("__slots"), 256).alias("__digest"))
-    )
-    return (
-        per_host.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("host", "__digest"))).alias("__hosts"))
-        .select(*keys, F.sha2(F.to_json("__hosts"), 256).alias("fingerprint"))
+CONTENT = ("host", "port", "executor")
+_WORDS = 8
+
+
+def digested(rows: DataFrame, keys: Sequence[str | Column], content: Sequence[str] = CONTENT) -> DataFrame:
+    """A 256-bit digest of the set of rows of each key, as ``fingerprint``, and their number, ``rows``.
+
+    The sum, word by word, of the rows' own hashes, with their count: it does not depend on the
+    order, partial sums can be added, and no row ever holds a set.  The rows of a key are distinct.
+    A row whose content is null as a whole is not counted.
+    """
+    present = F.greatest(*[F.col(c).isNotNull() for c in content])
+    mark = F.sha2(F.to_json(F.struct(*content)), 256)
+    words = [F.conv(F.substring(mark, 8 * i + 1, 8), 16, 10).cast("long") for i in range(_WORDS)]
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.when(present, 1)).alias("rows"),
+        *[F.sum(F.when(present, w)).alias(f"__word{i}") for i, w in enumerate(words)],
     )
+    texts = [F.lpad(F.hex(F.pmod(F.col(f"__word{i}"), F.lit(1 << 32))), 8, "0") for i in range(_WORDS)]
+    fingerprint = F.concat_ws("", *texts, F.lit("-"), F.col("rows").cast("string"))
+    return sums.withColumn("fingerprint", fingerprint).drop(*[f"__word{i}" for i in range(_WORDS)])
+
+
+def fingerprints(snapshots: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
+    """A digest of each snapshot's content; order and duplicates do not matter."""
+    return digested(snapshots.select(*keys, *CONTENT).distinct(), keys).select(*keys, "fingerprint")
 
 
 def assignment_changes(

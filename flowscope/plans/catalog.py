@@ -996,5 +996,5 @@ def _(b: Bridge) -> DataFrame:
 def _(b: Bridge) -> DataFrame:
     rows = snapshot_rows(_ended_events(b, "1 day")).withColumn("cluster", F.lit("main"))
     marks = _relay(b, decisions.stream_fingerprints(rows, "1 day", DELAY), "fingerprints")
-    landed, _ = _landed(b, decisions.stream_assignment_changes(marks), "changes")
+    landed, _ = _landed(b, decisions.stream_assignment_changes(marks, "1 day"), "changes")
     return landed.select(F.date_format("snapshot", "yyyy-MM-dd").alias("snapshot"))

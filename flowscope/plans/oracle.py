@@ -1098,7 +1098,10 @@ where rn = 1"""
 QUERY_SQL["stream_cooldown_alerts"] = QUERY_SQL["cooldown_alerts"]
 
 QUERY_SQL["stream_assignment_changes"] = """
-select strftime(snapshot, '%Y-%m-%d') snapshot from b_changes"""
+select strftime(snapshot, '%Y-%m-%d') snapshot from (
+  select snapshot, assignment, lag(assignment) over (order by snapshot) before, lag(snapshot) over (order by snapshot) at
+  from b_snapshot_text) q
+where before is null or before <> assignment or snapshot - at > 1"""
 
 
 def _closure(sql: str) -> list[str]:

@@ -172,3 +172,35 @@ def test_a_marker_closes_the_last_snapshot(spark, tmp_path):
     append_end_marker(spark, f"{tmp_path}/in", source.schema, rows[-1][0], "1 day", "1 hour")
     marks = landed(spark, decisions.stream_fingerprints(source, "1 day", "1 hour"), tmp_path, "all-marks")
     assert {r.snapshot for r in marks.collect()} == {r[0] for r in rows}
+
+
+def test_a_placement_that_vanishes_and_returns_is_a_change(spark, tmp_path):
+    """Day 2 has no rows: nothing was assigned then."""
+    schema = "ts timestamp, cluster string, host string, port int, executor string"
+    rows = [(DAY0 + dt.timedelta(days=d, hours=h), "c", "a", 1, e) for d in (0, 1, 3, 4) for h, e in enumerate("xyx")]
+    for batch in (rows[:6], rows[6:]):
+        source = feed(spark, tmp_path, schema, [batch])
+        append_end_marker(spark, f"{tmp_path}/in", source.schema, batch[-1][0], "1 day", "1 hour")
+        marks = landed(spark, decisions.stream_fingerprints(source, "1 day", "1 hour"), tmp_path, "gap-marks")
+        stream = relay(spark, marks, tmp_path, "gap-marks")
+        got = landed(spark, decisions.stream_assignment_changes(stream, "1 day"), tmp_path, "gap-changes")
+    days = spark.createDataFrame([(DAY0 + dt.timedelta(days=d),) for d in range(5)], "ts timestamp").selectExpr(
+        "to_date(ts) snapshot"
+    )
+    batch_rows = spark.createDataFrame(rows, schema).withColumn("snapshot", F.to_date("ts"))
+    expected = as_set(history.assignment_changes(batch_rows, days))
+    assert {(r.snapshot.date(),) for r in got.collect()} == expected == {(DAY0.date(),), ((DAY0 + dt.timedelta(days=3)).date(),)}
+    # one digest for both forms
+    live = {(r.snapshot.date(), r.fingerprint) for r in marks.collect()}
+    assert live == as_set(history.fingerprints(batch_rows))
+
+
+def test_digests_tell_sets_apart(spark):
+    schema = "snapshot int, host string, port int, executor string"
+    sets = [[("a", 1, "x")], [("a", 1, "y")], [("a", 1, "x"), ("a", 1, "y")], [("a", 2, "x")], [("b", 1, "x")],
+            [("a", 1, None)], [("a", None, "x")]]
+    rows = [(k, *r) for k, group in enumerate(sets) for r in group * 2]
+    marks = history.fingerprints(spark.createDataFrame(rows, schema)).collect()
+    assert len({m.fingerprint for m in marks}) == len(sets) == len(marks)
+    plan = history.fingerprints(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_" not in plan
