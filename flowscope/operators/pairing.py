@@ -105,9 +105,9 @@ def _homes(units: DataFrame, aff: DataFrame, unit: Sequence[str], picks: Sequenc
 
 
 def _spot(place: Column, a1: Column, a2: Column, room: Column, load: Column, limit: Column) -> Column:
-    """A candidate as both units see it without the two of them."""
+    """A candidate as both units see it without the two of them; a place nothing is known of is none."""
     return F.when(
-        place.isNotNull(),
+        place.isNotNull() & room.isNotNull(),
         F.struct(
             place.alias("place"),
             a1.cast("long").alias("a1"),

@@ -814,12 +814,12 @@ with p as (
   where (p.topology_id, first_begin, second_begin) not in (select topology_id, first_begin, second_begin from joint)
 ), combo as (
   select p.*, a.slot_id n1, b.slot_id n2 from p
-  join (select topology_id, first_begin, second_begin, s1 slot_id from p where s1 is not null
-        union select topology_id, first_begin, second_begin, s2 from p where s2 is not null
+  join (select topology_id, first_begin, second_begin, s1 slot_id from p where (topology_id, s1) in (select topology_id, slot_id from free)
+        union select topology_id, first_begin, second_begin, s2 from p where (topology_id, s2) in (select topology_id, slot_id from free)
         union select topology_id, first_begin, second_begin, slot_id from pick where rn = 1) a
     using (topology_id, first_begin, second_begin)
-  join (select topology_id, first_begin, second_begin, s1 slot_id from p where s1 is not null
-        union select topology_id, first_begin, second_begin, s2 from p where s2 is not null
+  join (select topology_id, first_begin, second_begin, s1 slot_id from p where (topology_id, s1) in (select topology_id, slot_id from free)
+        union select topology_id, first_begin, second_begin, s2 from p where (topology_id, s2) in (select topology_id, slot_id from free)
         union select topology_id, first_begin, second_begin, slot_id from pick where rn = 1) b
     using (topology_id, first_begin, second_begin)
   union all
@@ -1099,9 +1099,9 @@ QUERY_SQL["stream_cooldown_alerts"] = QUERY_SQL["cooldown_alerts"]
 
 QUERY_SQL["stream_assignment_changes"] = """
 select strftime(snapshot, '%Y-%m-%d') snapshot from (
-  select snapshot, assignment, lag(assignment) over (order by snapshot) before, lag(snapshot) over (order by snapshot) at
+  select snapshot, assignment, lag(assignment) over (order by snapshot) before, lag(snapshot) over (order by snapshot) earlier
   from b_snapshot_text) q
-where before is null or before <> assignment or snapshot - at > 1"""
+where before is null or before <> assignment or snapshot - earlier > 1"""
 
 
 def _closure(sql: str) -> list[str]:
