@@ -34,8 +34,8 @@ from flowscope.llm.tables import cut, fresh, lean, only
 
 SHARD_PIECES = 25_000
 BLOCK = 4 << 20
-KNOWN_RUNS = 500_000
-KNOWN_WORDS = 300_000
+KNOWN_RUNS = 600_000
+KNOWN_WORDS = 400_000
 SHORT = 7
 # Runs encoded at a time: the library's results are much larger than the ids taken from them.
 ENCODED = 10_000
@@ -60,6 +60,14 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def _settled(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # much faster than the search, and enough for most texts
+    except UnicodeEncodeError:
+        return not _UNSETTLED.search(text)
+    return "<|" not in text and not any(c in text for c in _SEPARATOR_CONTROLS)
+
+
 def _cuts_words(tokenizer: Tokenizer) -> bool:
     """Whether the tokenizer lower-cases runs and cuts them by ``WORDS``."""
     told = json.loads(tokenizer.to_str())
@@ -126,8 +134,8 @@ class Ids:
         if len(self.words) > KNOWN_WORDS:
             self.words = _without_long(self.words, KNOWN_WORDS)
         joined = "\n".join(runs)
-        if _UNSETTLED.search(joined):
-            whole = [i for i, r in enumerate(runs) if _UNSETTLED.search(r)]
+        if not _settled(joined):
+            whole = [i for i, r in enumerate(runs) if not _settled(r)]
             out = dict(zip(whole, self._encode([runs[i] for i in whole]), strict=True))
             rest = [r for i, r in enumerate(runs) if i not in out]
             others = iter(self._runs(rest) if rest else [])
