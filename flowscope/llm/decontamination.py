@@ -8,7 +8,8 @@ tiles is its coverage, wherever in the document and in whatever order the tiles
 
 Defined results: words are runs of letters and digits, lower-cased, and single letters in
 scripts without spaces; an item of fewer than
-``MATCH`` words is matched as one run of its own length.  Null or empty items and texts match
+``MATCH`` words is matched as one run of its own length, and one of fewer than ``SHORT`` words only
+with a text that has no other words.  Null or empty items and texts match
 nothing.  A repeated item or document row counts once; a null id is an id like any
 other.  Among equally long runs the first in the item, then in the document, is
 marked first.  Empty tables give an empty result.
@@ -16,7 +17,6 @@ marked first.  Empty tables give an empty result.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,10 +25,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.llm.hashing import NOT_ALNUM, documents_words, in_blocks, spaced, windows
+from flowscope.llm.hashing import NOT_ALNUM, documents_words, in_blocks, prefix_sums, spaced, windows
 from flowscope.llm.tables import column, cut, fresh, lean, only
 
 MATCH = 5
+# Items of fewer words are matched with whole texts only: words like "Yes." are in many.
+SHORT = 3
 COVERAGE = 0.6
 BLOCK = 8 << 20
 # Bits of the map that spares documents the join: fixed, whatever the benchmark's size.
@@ -98,7 +100,10 @@ def _seen(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     hit = (bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1
                     places = np.flatnonzero(hit)
                     doc = np.searchsorted(begin, places, "right") - 1
-                    places = places[places + size <= begin[doc + 1]]
+                    inside = places + size <= begin[doc + 1]
+                    if size < SHORT:
+                        inside &= np.diff(begin)[doc] == size
+                    places = places[inside]
                     found.append((places, seeds[places]))
                     np.add.at(under, places, 1)
                     np.add.at(under, places + size, -1)
@@ -125,46 +130,104 @@ def _seen(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def tiles(doc: np.ndarray, places: np.ndarray, item: np.ndarray, match: int) -> list[tuple[int, int, int]]:
+def _left(free: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """How many free words follow each place without a break, its own included."""
+    n = len(free)
+    ends = np.append(np.flatnonzero(~free | ~joined), n)
+    at = np.arange(n)
+    return np.where(free, ends[np.searchsorted(ends, at, "right")] - at, 0)
+
+
+class _Runs:
+    """Running hashes of the unmarked words of a document or an item."""
+
+    def __init__(self, words: np.ndarray, joined: np.ndarray):
+        self.words, self.joined, self.free = words, joined, np.ones(len(words), bool)
+        self.sums, self.down = prefix_sums(words)
+
+    def settle(self, size: int) -> None:
+        """Takes note of what is marked; only places before ``size`` unmarked words count from here."""
+        self.left = _left(self.free, self.joined)
+        self.at = np.flatnonzero(self.left >= size)
+
+    def hashed(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places that have ``size`` words, and the hashes of these."""
+        at = at[self.left[at] >= size]
+        return at, (self.sums[at + size] - self.sums[at]) * self.down[at]
+
+
+def _meet(doc: _Runs, item: _Runs, in_doc: np.ndarray, in_item: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Places in document and item whose next ``size`` words have a hash that the other has, and the hashes."""
+    p, of_doc = doc.hashed(in_doc, size)
+    i, of_item = item.hashed(in_item, size)
+    known = np.isin(of_doc, of_item)
+    p, of_doc = p[known], of_doc[known]
+    known = np.isin(of_item, of_doc)
+    return p, of_doc, i[known], of_item[known]
+
+
+def tiles(words: np.ndarray, places: np.ndarray, item: np.ndarray, match: int) -> list[tuple[int, int, int]]:
     """(start in item, place in document, words) of each tile, by greedy string tiling.
 
-    ``doc`` holds words of a document and ``places`` where they stand in it.
+    ``words`` are words of a document and ``places`` where they stand in it.  The search length
+    falls from the longest common run to ``match``.  Each length costs passes over the
+    unmarked words: hashes of all runs of that length are differences of prefix sums.  Runs
+    with the same hash are marked in order of their places after a comparison of their words.  A place that is
+    marked stays marked, so each place is visited once a length.
     """
     runs: list[tuple[int, int, int]] = []
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
-    at_word: dict[int, list[int]] = defaultdict(list)
-    # Windows of consecutive words of the document, by hash.
-    grams = windows(doc, match)
-    whole = places[match - 1 :] - places[: len(grams)] == match - 1
-    for p in np.flatnonzero(whole).tolist():
-        at_word[int(grams[p])].append(p)
-    seeds = windows(item, match).tolist()
-    while True:
-        longest: list[tuple[int, int, int]] = []
-        most = match
-        for i, seed in enumerate(seeds):
-            if not free_item[i : i + match].all():
-                continue
-            for p in at_word.get(seed, ()):
-                if not free_doc[p : p + match].all():
-                    continue
-                n = match
-                while (
-                    i + n < len(item) and p + n < len(doc) and free_item[i + n] and free_doc[p + n]
-                    and places[p + n] == places[p] + n and item[i + n] == doc[p + n]
-                ):
-                    n += 1
-                if n > most:
-                    longest, most = [], n
-                if n == most:
-                    longest.append((i, p, n))
-        if not longest:
+    if match < 1 or not len(words) or not len(item):
+        return runs
+    a = _Runs(words, np.append(True, np.diff(places) == 1))
+    b = _Runs(item, np.ones(len(item), bool))
+    most = min(len(words), len(item))
+    while most >= match:
+        a.settle(match)
+        b.settle(match)
+        # The longest run: all runs of one length have the shorter ones in them, so halving finds it.
+        found = _meet(a, b, a.at, b.at, match)
+        low, high = match, most
+        if not len(found[0]):
             return sorted(runs)
-        for i, p, n in longest:
-            if free_item[i : i + n].all() and free_doc[p : p + n].all():
-                free_item[i : i + n] = False
-                free_doc[p : p + n] = False
-                runs.append((i, int(places[p]), n))
+        while low < high:
+            middle = (low + high + 1) // 2
+            longer = _meet(a, b, found[0], found[2], middle)
+            if len(longer[0]):
+                found, low = longer, middle
+            else:
+                high = middle - 1
+        if low == match:
+            found = _meet(a, b, found[0], found[2], low)
+        _mark(a, b, found, low, places, runs)
+        most = low - 1
+    return sorted(runs)
+
+
+def _mark(a: _Runs, b: _Runs, found: tuple[np.ndarray, ...], size: int, places: np.ndarray, runs: list) -> None:
+    """Marks common runs of ``size`` words: the first in the item, each with the first free one in the document."""
+    in_doc, of_doc, in_item, of_item = found
+    order = np.argsort(of_doc, kind="stable")
+    in_doc, of_doc = in_doc[order], of_doc[order]
+    begin = dict(zip(*(x.tolist() for x in np.unique(of_doc, return_index=True)), strict=True))
+    end = {h: n for h, n in zip(begin, [*list(begin.values())[1:], len(of_doc)], strict=True)}
+    item_free_from = 0
+    for i, h in zip(in_item.tolist(), of_item.tolist(), strict=True):
+        if i < item_free_from:
+            continue
+        at = begin[h]
+        # Runs of one length that are free overlap a marked one at an end, if they do.
+        while at < end[h] and not (a.free[in_doc[at]] and a.free[in_doc[at] + size - 1]):
+            at += 1
+        begin[h] = at
+        while at < end[h]:
+            p = int(in_doc[at])
+            if a.free[p] and a.free[p + size - 1] and np.array_equal(a.words[p : p + size], b.words[i : i + size]):
+                a.free[p : p + size] = False
+                b.free[i : i + size] = False
+                runs.append((i, int(places[p]), size))
+                item_free_from = i + size
+                break
+            at += 1
 
 
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,16 +94,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _table_size(n: int) -> int:
+    size = BLOCK_BYTES
+    while size < n:
+        size *= 2
+    return size
+
+
 def _block(block: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~separators[block]
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return starts, np.zeros(0, _U)
-    size = BLOCK_BYTES
-    while size < len(block):
-        size *= 2
-    up, down = _powers(size)
+    up, down = _powers(_table_size(len(block)))
     sums = np.zeros(len(block) + 1, _U)
     np.cumsum((block.astype(_U) + _U(1)) * up[: len(block)], out=sums[1:])
     return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
@@ -148,6 +152,17 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out + _U(k))
 
 
+def prefix_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a Karp-Rabin polynomial over words, one more than words, and BASE^-i by place.
+
+    (sums[i + n] - sums[i]) * inverse[i] is the same for equal runs of n words, wherever they stand.
+    """
+    up, down = _powers(_table_size(len(hashes)))
+    sums = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return sums, down[: len(hashes) + 1]
+
+
 def in_blocks(sizes: Sequence[int], limit: int) -> Iterator[slice]:
     """Cuts rows into runs of about ``limit`` bytes, at least one row each."""
     begin = total = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -227,7 +228,31 @@ def tiles_by_force(doc, item, match):
 
 def test_tiles_equal_brute_force():
     rng = random.Random(7)
-    for _ in range(300):
-        doc, item = ([rng.randrange(4) for _ in range(rng.randint(0, 25))] for _ in range(2))
-        got = decontamination.tiles(np.array(doc, np.uint64), np.arange(len(doc)), np.array(item, np.uint64), 3)
-        assert got == tiles_by_force(doc, item, 3)
+    for _ in range(600):
+        kinds, match = rng.choice([1, 2, 4]), rng.choice([1, 3, 5])
+        doc, item = ([rng.randrange(kinds) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        got = decontamination.tiles(np.array(doc, np.uint64), np.arange(len(doc)), np.array(item, np.uint64), match)
+        assert got == tiles_by_force(doc, item, match)
+        # Words left out of the document break runs like a word that no item has.
+        gaps = [rng.random() < 0.2 for _ in doc]
+        kept = [i for i, gap in enumerate(gaps) if not gap]
+        got = decontamination.tiles(np.array([doc[i] for i in kept], np.uint64), np.array(kept, np.int64), np.array(item, np.uint64), match)
+        assert got == tiles_by_force([99 if gap else w for w, gap in zip(doc, gaps, strict=True)], item, match)
+
+
+def test_tiles_of_repeated_words_end():
+    began = time.monotonic()
+    same = np.full(20_000, 5, np.uint64)
+    assert decontamination.tiles(same, np.arange(20_000), same[:200], 5) == [(0, 0, 200)]
+    two = np.array(random.Random(1).choices([3, 4], k=20_000), np.uint64)
+    got = decontamination.tiles(two, np.arange(20_000), two[7000:7200], 5)
+    assert sum(n for _, _, n in got) == 200
+    assert time.monotonic() - began < 5
+
+
+def test_short_items_match_whole_texts_only(spark):
+    rows = [(1, "Yes."), (2, "yes yes"), (3, "He said yes to her"), (4, "thank YOU"), (5, "say thank you now"), (6, "one two three four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "Thank you"), (3, "two three four")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminations(df, items).collect()}
+    assert got == {(1, 1), (4, 2), (6, 3)}
