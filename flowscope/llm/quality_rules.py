@@ -45,6 +45,8 @@ class Limits:
     host_rates: dict[str, float] = field(
         default_factory=lambda: {"too_short": 0.8, "repetitive": 0.8, "symbols": 0.8, "dup_lines": 0.8}
     )
+    # Strengths of the prior, in documents: the least and the most.
+    min_strength: float = 1.0
     max_strength: float = 1e6
 
 
@@ -111,41 +113,45 @@ def failures(m: Column, limits: Limits) -> dict[str, Column]:
     }
 
 
-def _prior(n: int, hosts: int, failed: int, squares: float, limits: Limits) -> tuple[float, float]:
-    """Mean and strength of the beta prior of one rule, by moments over all hosts.
+def _prior(hosts: int, rates: float, squares: float, noise: float, limits: Limits) -> tuple[float, float]:
+    """Mean and strength of the beta prior of one rule, by moments over hosts, each counted once.
 
-    ``squares`` is the sum of k^2 / n over hosts, so squares / n - p^2 is the scatter of the
-    hosts' rates, weighted by their sizes; sizes alone explain hosts / n of p (1 - p).
+    ``rates`` and ``squares`` are sums of the hosts' failure rates and of their squares.
+    ``noise`` sums r (1 - r) / (n - 1), what the hosts' sizes alone explain of the scatter.
     """
-    p = failed / n if n else 0.0
-    share, rho = hosts / n if n else 1.0, 0.0
-    if 0 < p < 1 and share < 1:
-        rho = ((squares / n - p * p) / (p * (1 - p)) - share) / (1 - share)
-    return p, 1 / max(min(rho, 0.5), 1 / (1 + limits.max_strength)) - 1
+    if not hosts:
+        return 0.0, limits.max_strength
+    p = rates / hosts
+    spread = squares / hosts - p * p - noise / hosts
+    if not 0 < p < 1 or spread <= 0:
+        return p, limits.max_strength
+    return p, min(max(p * (1 - p) / spread - 1, limits.min_strength), limits.max_strength)
 
 
 def host_verdicts(measured: DataFrame, host: str, m: str, limits: Limits) -> DataFrame:
     """host, n, each rule's shrunk rate, rejected; one row per host.
 
-    The prior of a rule is Beta(p M, (1 - p) M): p is the failure rate over all documents
-    and M follows, by moments, from how far the rates of hosts scatter beyond what their
-    sizes explain.
+    The prior of a rule is Beta(p M, (1 - p) M): p is the mean of the failure rates of hosts
+    and M follows, by moments, from how far these scatter beyond what the hosts' sizes
+    explain.  Hosts count alike, so ten times the documents of each host leave the prior as it
+    is but for that noise.  Hosts of one document tell nothing of the scatter and are left
+    out of the prior (they are judged by it like others).
     """
     fails = failures(column(m), limits)
     hosts = measured.groupBy(F.coalesce(column(host), F.lit(UNNAMED)).alias("host")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f.cast("long")).alias(f"k_{r}") for r, f in fails.items()]
     )
-    totals = hosts.agg(
-        F.sum("n").alias("documents"),
+    rate = {r: F.col(f"k_{r}") / F.col("n") for r in fails}
+    totals = hosts.filter("n > 1").agg(
         F.count(F.lit(1)).alias("hosts"),
-        *[F.sum(f"k_{r}").alias(f"failed_{r}") for r in fails],
-        *[F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"squares_{r}") for r in fails],
-    ).first()  # one row of counts, whatever the number of hosts
+        *[F.sum(rate[r]).alias(f"rates_{r}") for r in fails],
+        *[F.sum(rate[r] * rate[r]).alias(f"squares_{r}") for r in fails],
+        *[F.sum(rate[r] * (1 - rate[r]) / (F.col("n") - 1)).alias(f"noise_{r}") for r in fails],
+    ).first()  # one row of sums, whatever the number of hosts
     rates = []
     for r in fails:
-        p, strength = _prior(
-            totals["documents"] or 0, totals["hosts"], totals[f"failed_{r}"] or 0, totals[f"squares_{r}"] or 0.0, limits
-        )
+        sums = [totals[f"{what}_{r}"] or 0.0 for what in ("rates", "squares", "noise")]
+        p, strength = _prior(totals["hosts"], *sums, limits)
         rates.append(((F.col(f"k_{r}") + p * strength) / (F.col("n") + strength)).alias(f"rate_{r}"))
     shrunk = hosts.select("host", "n", *rates)
     bad = [F.col(f"rate_{r}") > limits.host_rates[r] for r in fails]

@@ -169,13 +169,16 @@ def _quality_sql() -> str:
     rules = list(_RULES)
     flags = ", ".join(f"{test} as {r}" for r, test in _RULES.items())
     counts = ", ".join(f"count(*) filter ({r}) as k_{r}" for r in rules)
-    sums = ", ".join(f"sum(k_{r}) / sum(n) as p_{r}, sum(k_{r} * k_{r} / n) / sum(n) as s_{r}" for r in rules)
-    rho = ", ".join(
-        f"""case when p_{r} > 0 and p_{r} < 1 and share < 1
-        then ((s_{r} - p_{r} * p_{r}) / (p_{r} * (1 - p_{r})) - share) / (1 - share) else 0 end as rho_{r}"""
+    rates = ", ".join(f"k_{r} / n as r_{r}" for r in rules)
+    sums = ", ".join(
+        f"""coalesce(avg(r_{r}), 0) as p_{r},
+        avg(r_{r} * r_{r}) - avg(r_{r}) * avg(r_{r}) - avg(r_{r} * (1 - r_{r}) / (n - 1)) as v_{r}"""
+        for r in rules
+    )
+    strength = ", ".join(
+        f"case when p_{r} > 0 and p_{r} < 1 and v_{r} > 0 then least(greatest(p_{r} * (1 - p_{r}) / v_{r} - 1, 1), 1e6) else 1e6 end as m_{r}"
         for r in rules
     )
-    strength = ", ".join(f"1 / greatest(least(rho_{r}, 0.5), 1 / 1000001.0) - 1 as m_{r}" for r in rules)
     bad = " or ".join(f"(k_{r} + p_{r} * m_{r}) / (n + m_{r}) > 0.8" for r in rules)
     return f"""
 with d as (
@@ -207,9 +210,9 @@ m as (
 ),
 judged as (select *, {flags} from m),
 hosts as (select host, count(*) as n, {counts} from judged group by host),
-totals as (select count(*) / sum(n) as share, {sums} from hosts),
-rhos as (select *, {rho} from totals),
-prior as (select *, {strength} from rhos),
+rates as (select n, {rates} from hosts where n > 1),
+totals as (select {sums} from rates),
+prior as (select *, {strength} from totals),
 rejected as (select host from hosts, prior where host <> '' and ({bad}))
 select doc_id, {", ".join(MEASURES)}, too_short or repetitive as base_failed,
     not (too_short or repetitive) and host not in (select host from rejected) as kept
