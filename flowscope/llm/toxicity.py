@@ -1,6 +1,7 @@
 """Toxicity scores from a weighted lexicon.
 
-Texts are folded (case, homoglyphs, digits and marks standing for letters), a lexicon of word
+Texts are folded (case, accents, styled letters, homoglyphs, invisible characters, digits and marks
+standing for letters), a lexicon of word
 beginnings is matched by an Aho-Corasick automaton, hits inside exception phrases do not
 count, and the summed weights, by themselves and normalised by length, give a probability.
 Lexicon, exceptions and the two coefficients are learned from a bounded sample of labelled
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -23,6 +26,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -39,26 +43,54 @@ MAX_ENTRIES = 2_000
 MAX_EXCEPTIONS = 20_000
 
 # Letters of other scripts that look like Latin ones; fixed values.
-LOOKALIKES = str.maketrans(
-    "авеікмнорстухѕјԁԛԝһӏαβεικνορτυχγ" + "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ",
-    "abeikmhopctyxsjdqwhlabeikvoptuxy" + "abcdefghijklmnopqrstuvwxyz",
-)
+_SCRIPTS = str.maketrans("авеікмнорстухѕјԁԛԝһӏαβεικνορτυχγ", "abeikmhopctyxsjdqwhlabeikvoptuxy")
+# Variants that no decomposition leads to a plain letter: strokes, hooks, small capitals.
+_VARIANT = re.compile(r"LATIN (?:SMALL LETTER|LETTER SMALL CAPITAL|SMALL LETTER DOTLESS) ([A-Z])(?: WITH .*)?")
+
+
+def _lookalikes() -> dict[int, str]:
+    """Fixed values and, by their names, small Latin letters that vary a plain one."""
+    table: dict[int, str] = {k: chr(v) for k, v in _SCRIPTS.items()}
+    for block in (range(0xC0, 0x2B0), range(0x1D00, 0x1DC0), range(0x2C60, 0x2C80), range(0xA720, 0xA800)):
+        for point in block:
+            if found := _VARIANT.fullmatch(unicodedata.name(chr(point), "")):
+                table[point] = found[1].lower()
+    return table
+
+
+LOOKALIKES = _lookalikes()
 # Digits and marks written for letters; fixed values.
 STAND_INS = str.maketrans("013457@$!|", "oieastasil")
 _STAND_IN = re.compile(r"(?:(?<=[^\W\d_])[0-9@$!|]+(?=[^\W\d_]))|(?:\b[013457]+(?=[^\W\d_]))|(?:(?<=[^\W\d_])[013457]+\b)")
 _BREAK = re.compile(r"[\W_]+")
-_FIRST_LOOKALIKE = "Ͱ"
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 
 
 def fold(text: str) -> str:
     """Folded words with single spaces around each."""
+    if not text.isascii():
+        # Marked, styled and fullwidth letters become plain ones; marks and invisible characters go.
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     text = text.lower()
-    if max(text, default="") >= _FIRST_LOOKALIKE:
+    if not text.isascii():
         text = text.translate(LOOKALIKES)
     text = _STAND_IN.sub(lambda m: m[0].translate(STAND_INS), text)
     return " " + _BREAK.sub(" ", text).strip() + " "
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of half-open spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 @dataclass
 class Model:
     """Weights by word beginning, exception phrases, and intercept and slopes of the score."""
@@ -91,8 +123,10 @@ class Matcher:
                 best[start] = max(weight, best.get(start, weight))
             else:
                 covered.append((end + size, end))
+        starts, ends = merged(covered)
         for start, weight in best.items():
-            if not any(a <= start < b for a, b in covered):
+            at = bisect_right(starts, start) - 1
+            if at < 0 or start >= ends[at]:
                 yield start, weight
 
     def features(self, text: str | None) -> tuple[float, float, int]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,6 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from flowscope.llm import hashing, language_id, packing, quality_rules, token_counts, toxicity
+from flowscope.llm.queries import ORACLE
 
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 DOCS = "doc_id long, text string, lang string, source string"
@@ -81,6 +84,34 @@ def test_quality_measures_and_hosts(spark):
     assert quality_rules.quality_verdicts(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def host_rows(times):
+    """Documents of thirty hosts, ``times`` as many of each; one host has short texts only, one writes symbols."""
+    rng = random.Random(times)
+    rows = []
+    for h in range(30):
+        for _ in range(25 * times):
+            words = [f"w{rng.random()}" for _ in range(4 if h == 3 or rng.random() < 0.02 else 14)]
+            if h == 4 and rng.random() < 0.95:
+                words += ["#$" * 6]
+            rows.append((len(rows), " ".join(words), None, f"host{h}"))
+    rows += [(len(rows) + i, "one short", None, f"single{i}") for i in range(5)]
+    return rows + [(None, " ".join(f"x{i}" for i in range(20)), None, "host3")]
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_host_verdicts_act_alike_at_every_size(spark, times):
+    rows = host_rows(times)
+    df = spark.createDataFrame(rows, DOCS)
+    verdicts = quality_rules.quality_verdicts(df)
+    named = verdicts.filter("host_rejected").join(df.select("doc_id", "source"), "doc_id")
+    assert {r["source"] for r in named.select("source").distinct().collect()} == {"host3", "host4"}
+    got = list(map(tuple, verdicts.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept").collect()))
+    assert [r[-1] for r in got if r[0] is None] == [False]  # a good text of a bad host
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    assert Counter(got) == Counter(con.sql(ORACLE["op9_quality_rules"]).fetchall())
+
+
 def test_token_counts_equal_the_library(spark):
     texts = odd_texts(400) + [None, "", "a" * 5000, "ab " * 3000 + "<|endoftext|>"]
     rows = [(i if i % 7 else None, t, None, None) for i, t in enumerate(texts)] * 2
@@ -108,6 +139,33 @@ def test_packed_frequencies_round_trip(pairs):
     assert got == Counter(dict(pairs))
 
 
+def test_folding():
+    want = " you idiot here "
+    for text in (
+        "You IDIOT, here", "you id\u200biot here", "you \u00efdiot here", "you i\u0308diot here", "you id\u00adiot here",
+        "you \U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d here", "you \uff49\uff44\uff49\uff4f\uff54 here", "you 1d1ot here",
+        "you \u0456d\u0456\u043et here", "you \u026ad\u0131ot here", "you i\u0111\u0268\u00f8\u0167 here", "you \u24d8diot here",
+    ):
+        assert toxicity.fold(text) == want, ascii(text)
+    assert toxicity.fold("") == toxicity.fold("\u200b\u0301") == "  "
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9))))
+def test_merged_spans_cover_what_the_spans_cover(spans):
+    spans = [(a, a + n) for a, n in spans]
+    starts, ends = toxicity.merged(spans)
+    assert {x for s in zip(starts, ends, strict=True) for x in range(*s)} == {x for s in spans for x in range(*s)}
+    assert starts == sorted(starts) and all(b < a for b, a in zip(ends, starts[1:], strict=False))
+
+
+def test_many_hits_and_exceptions_in_one_text():
+    matcher = toxicity.Matcher(toxicity.Model({"idiot": 2.0}, frozenset({"useful idiot"}), (0.0, 1.0, 1.0)))
+    began = time.monotonic()
+    assert len(list(matcher.hits(toxicity.fold("a useful idiot and an idiot " * 100_000)))) == 100_000
+    assert time.monotonic() - began < 10
+
+
 def toxic_rows():
     rng = random.Random(8)
     rows, labels = [], []
