@@ -1,7 +1,7 @@
 """Toxicity scores from a weighted lexicon.
 
-Texts are folded (case, accents, styled letters, homoglyphs, invisible characters, digits and marks
-standing for letters), a lexicon of word
+Texts are folded (case, styled letters, homoglyphs, invisible characters, digits and marks
+standing for letters) and matched as they are and with their accents taken off; a lexicon of word
 beginnings is matched by an Aho-Corasick automaton, hits inside exception phrases do not
 count, and the summed weights, by themselves and normalised by length, give a probability.
 Lexicon, exceptions and the two coefficients are learned from a bounded sample of labelled
@@ -43,22 +43,26 @@ MAX_ENTRIES = 2_000
 MAX_EXCEPTIONS = 20_000
 
 # Letters of other scripts that look like Latin ones; fixed values.
-_SCRIPTS = str.maketrans("авеікмнорстухѕјԁԛԝһӏαβεικνορτυχγ", "abeikmhopctyxsjdqwhlabeikvoptuxy")
+LOOKALIKES = str.maketrans("авеікмнорстухѕјԁԛԝһӏαβεικνορτυχγ", "abeikmhopctyxsjdqwhlabeikvoptuxy")
 # Variants that no decomposition leads to a plain letter: strokes, hooks, small capitals.
 _VARIANT = re.compile(r"LATIN (?:SMALL LETTER|LETTER SMALL CAPITAL|SMALL LETTER DOTLESS) ([A-Z])(?: WITH .*)?")
 
 
-def _lookalikes() -> dict[int, str]:
-    """Fixed values and, by their names, small Latin letters that vary a plain one."""
-    table: dict[int, str] = {k: chr(v) for k, v in _SCRIPTS.items()}
-    for block in (range(0xC0, 0x2B0), range(0x1D00, 0x1DC0), range(0x2C60, 0x2C80), range(0xA720, 0xA800)):
+def _plain_letters() -> dict[int, str]:
+    """One plain letter for each small one with marks or of a varied shape, by decomposition or name."""
+    table: dict[int, str] = {}
+    for block in (range(0xC0, 0x530), range(0x1D00, 0x1DC0), range(0x1E00, 0x2000), range(0x2C60, 0x2C80), range(0xA720, 0xA800)):
         for point in block:
-            if found := _VARIANT.fullmatch(unicodedata.name(chr(point), "")):
-                table[point] = found[1].lower()
+            base = unicodedata.normalize("NFD", chr(point))[0]
+            if found := _VARIANT.fullmatch(unicodedata.name(base, "")):
+                base = found[1].lower()
+            base = base.translate(LOOKALIKES)
+            if base != chr(point):
+                table[point] = base
     return table
 
 
-LOOKALIKES = _lookalikes()
+PLAIN = _plain_letters()
 # Digits and marks written for letters; fixed values.
 STAND_INS = str.maketrans("013457@$!|", "oieastasil")
 _STAND_IN = re.compile(r"(?:(?<=[^\W\d_])[0-9@$!|]+(?=[^\W\d_]))|(?:\b[013457]+(?=[^\W\d_]))|(?:(?<=[^\W\d_])[013457]+\b)")
@@ -67,13 +71,13 @@ _UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 
 
 def fold(text: str) -> str:
-    """Folded words with single spaces around each."""
+    """Folded words with single spaces around each; letters keep the accents they are written with."""
     if not text.isascii():
-        # Marked, styled and fullwidth letters become plain ones; marks and invisible characters go.
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
-    text = text.lower()
-    if not text.isascii():
-        text = text.translate(LOOKALIKES)
+        # Styled and fullwidth letters become usual ones, loose marks and invisible characters go.
+        text = unicodedata.normalize("NFKC", text).lower()
+        text = _UNSEEN.sub("", unicodedata.normalize("NFC", text)).translate(LOOKALIKES)
+    else:
+        text = text.lower()
     text = _STAND_IN.sub(lambda m: m[0].translate(STAND_INS), text)
     return " " + _BREAK.sub(" ", text).strip() + " "
 
@@ -117,12 +121,14 @@ class Matcher:
             return
         best: dict[int, float] = {}
         covered: list[tuple[int, int]] = []
-        for end, (size, weight) in self.automaton.iter(folded):
-            if size > 0:
-                start = end - size + 1
-                best[start] = max(weight, best.get(start, weight))
-            else:
-                covered.append((end + size, end))
+        # As written, and with plain letters for those with accents, which keeps all places.
+        for form in (folded,) if folded.isascii() else (folded, folded.translate(PLAIN)):
+            for end, (size, weight) in self.automaton.iter(form):
+                if size > 0:
+                    start = end - size + 1
+                    best[start] = max(weight, best.get(start, weight))
+                else:
+                    covered.append((end + size, end))
         starts, ends = merged(covered)
         for start, weight in best.items():
             at = bisect_right(starts, start) - 1

@@ -140,13 +140,16 @@ def test_packed_frequencies_round_trip(pairs):
 
 
 def test_folding():
-    want = " you idiot here "
+    matcher = toxicity.Matcher(toxicity.Model({"idiot": 2.0, "\u00e9t\u00e9": 3.0}, frozenset({"useful idiot"}), (0.0, 1.0, 1.0)))
     for text in (
         "You IDIOT, here", "you id\u200biot here", "you \u00efdiot here", "you i\u0308diot here", "you id\u00adiot here",
-        "you \U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d here", "you \uff49\uff44\uff49\uff4f\uff54 here", "you 1d1ot here",
-        "you \u0456d\u0456\u043et here", "you \u026ad\u0131ot here", "you i\u0111\u0268\u00f8\u0167 here", "you \u24d8diot here",
+        "you i\u0308\u0331diot here", "you \U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d here", "you \u0130DIOT here",
+        "you \uff49\uff44\uff49\uff4f\uff54 here", "you 1d1ot here", "you \u0456d\u0456\u043et here",
+        "you \u026ad\u0131ot here", "you i\u0111\u0268\u00f8\u0167 here", "you \u24d8diot here", "you idi\u03ccts here",
     ):
-        assert toxicity.fold(text) == want, ascii(text)
+        assert list(matcher.hits(toxicity.fold(text))) == [(4, 2.0)], ascii(text)
+    # An entry with accents is no entry without them; an exception may be written with some.
+    assert [w for _, w in matcher.hits(toxicity.fold("E\u0301T\u00c9 ete idio us\u00e9ful idiot"))] == [3.0]
     assert toxicity.fold("") == toxicity.fold("\u200b\u0301") == "  "
 
 
