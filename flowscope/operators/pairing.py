@@ -66,12 +66,12 @@ def _sides(pairs: DataFrame, units: DataFrame, aff: DataFrame, unit: Sequence[st
         rest = [F.col(c).alias(f"{c}_{n}") for c in units.columns if c not in ("topology_id", *unit)]
         return units.select("topology_id", F.struct(*unit).alias(which), *rest)
 
-    both = spread_join(pairs, side("first", 1), ["topology_id", "first"], ["second"])
-    both = spread_join(both, side("second", 2), ["topology_id", "second"], ["first"])
+    both = spread_join(pairs, side("first", 1), ["topology_id", "first"], ["second"], grows=True)
+    both = spread_join(both, side("second", 2), ["topology_id", "second"], ["first"], grows=True)
     for which, n, other in (("first", 1, 2), ("second", 2, 1)):
         there = _affinity_at(aff, unit, which, f"place_{other}", f"across_{n}")
         by = ["second" if n == 1 else "first"]
-        both = spread_join(both, there, ["topology_id", which, f"place_{other}"], by)
+        both = spread_join(both, there, ["topology_id", which, f"place_{other}"], by, grows=True)
     zero = {c: _or_zero(c) for c in ("load_1", "load_2", "home_1", "home_2", "across_1", "across_2")}
     return both.withColumns(zero)
 

@@ -9,7 +9,7 @@ import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from flowscope.operators import choose, rollup
+from flowscope.operators import choose, pairing, resolve, rollup
 from flowscope.operators.joins import spread_join
 from flowscope.plans.catalog import QUERIES
 
@@ -130,3 +130,29 @@ def test_a_spread_join_is_a_join(spark, how):
     for spread_by in (["destination_task"], ["noise"], []):
         spread = spread_join(rows, table, ["source_task"], spread_by, how).select(*columns)
         assert sorted(map(tuple, spread.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+@pytest.mark.parametrize("which", ["edges", "tasks", "pairs", "sides"])
+def test_what_has_a_row_per_task_or_executor_is_not_broadcast(spark, tmp_path, which):
+    """A few wide ranges are a small file, their tasks are not."""
+    few = executors(spark).filter("begin_task < 40").withColumn("end_task", F.col("end_task") + 5_000_000)
+    few.write.parquet(f"{tmp_path}/executors")
+    table = spark.read.parquet(f"{tmp_path}/executors").withColumn("slot_id", F.lit(1))
+    edges(spark, 1000).write.parquet(f"{tmp_path}/edges")
+    traffic = spark.read.parquet(f"{tmp_path}/edges")
+    own, other = F.col("source_task"), F.col("destination_task")
+    ends = {"src_begin": own, "src_end": own, "dst_begin": other, "dst_end": other}
+    with settings(spark, autoBroadcastJoinThreshold="10MB"):
+        if which == "edges":
+            df = resolve.resolve_edges(traffic, table, keep=["node"])
+        elif which == "tasks":
+            df = resolve.resolve_tasks(traffic.withColumn("task", own), table)
+        elif which == "pairs":
+            df = rollup.place_pairs(traffic.withColumns(ends), table)
+        else:
+            units = table.withColumn("place", F.lit(1)).withColumn("home", F.lit(0))
+            aff = table.withColumn("place", F.lit(1)).withColumn("affinity", F.lit(0))
+            pairs = pairing._undirected(traffic.withColumns(ends))
+            df = pairing._sides(pairs, units, aff, ["begin_task", "end_task"])
+        text = physical(df)
+    assert "SortMergeJoin" in text and "Broadcast" not in text
