@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowscope.operators import choose, pairing, resolve, rollup
 from flowscope.operators.joins import spread_join
 from flowscope.plans.catalog import QUERIES
+from flowscope.runtime import stored
 
 DATA = "/root/testdata/sf0.001"
 STREAMS = {name for name in QUERIES if name.startswith("stream_")}
@@ -156,3 +157,13 @@ def test_what_has_a_row_per_task_or_executor_is_not_broadcast(spark, tmp_path, w
             df = pairing._sides(pairs, units, aff, ["begin_task", "end_task"])
         text = physical(df)
     assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_a_stored_table_is_written_in_small_parts(spark):
+    """About 20 MB of shuffle: Spark's 64 MB a task would make one task of it."""
+    rows = spark.range(1_500_000).select(F.xxhash64("id").alias("k"))
+    with settings(spark, adaptive__coalescePartitions__parallelismFirst=False):
+        before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+        df = stored(spark, "small-parts", lambda: rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) == before
+        assert len(df.inputFiles()) > 1 and df.count() == 1_500_000
