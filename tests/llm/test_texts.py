@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -298,3 +299,17 @@ def test_local_search_empties_a_bin():
     assert best <= len(packing.best_fit(sizes, 99))
     stuck = [[0, 1], [2, 3]]
     assert len(packing.improve(stuck, [50, 1, 30, 18], 100)) == 1
+
+
+def test_hashing_words_holds_little_beside_the_text():
+    """Two megabytes of text; a worker holds the blocks' arrays beside its batches."""
+    data = b"word%05d " % 7 * 200_000
+    hashing._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        starts, _ = hashing.hash_words(data, hashing.BLANK)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(starts) == 200_000
+    assert peak < 48 << 20
