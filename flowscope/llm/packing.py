@@ -33,7 +33,7 @@ from flowscope.llm.hashing import in_blocks
 from flowscope.llm.tables import cut, fresh, lean, only
 
 SHARD_PIECES = 25_000
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 KNOWN_RUNS = 600_000
 KNOWN_WORDS = 400_000
 SHORT = 7
@@ -156,6 +156,12 @@ class Ids:
         for runs in split:
             yield b"".join(map(get, runs))
 
+    def forget(self) -> None:
+        """Drops all runs and words: a worker lives on through stages that need the room."""
+        self.known.clear()
+        if self.words is not None:
+            self.words.clear()
+
 
 def _without_long(known: dict[str, bytes], most: int) -> dict[str, bytes]:
     """Keeps the short ones, which come again most often, unless they are too many themselves."""
@@ -165,7 +171,7 @@ def _without_long(known: dict[str, bytes], most: int) -> dict[str, bytes]:
 
 @lru_cache(maxsize=1)
 def _ids(path: str) -> Ids:
-    """One a worker, so that later tasks profit from the runs it knows."""
+    """One a worker, so that later tasks need not load the tokenizer again."""
     return Ids(path)
 
 
@@ -196,6 +202,7 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool) -> Callable[[It
                 columns.append(pa.array(range(place, place + len(rows)), pa.int64()))
                 place += len(rows)
                 yield pa.RecordBatch.from_arrays(columns, [*names, "place"])
+        ids.forget()
 
     return run
 

@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -275,6 +276,18 @@ def test_packing(spark, monkeypatch):
         packing.Ids(BYTE_BPE)
 
 
+def test_packing_leaves_no_runs_in_the_worker(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["Some words, unfathomably long ones", None]})
+    assert [b.num_rows for b in packing._pieces(WORD_BPE, 64, 1, False)(iter([batch]))] == [2]
+    held = packing._ids(WORD_BPE)
+    assert not held.known and not held.words
+
+
 def test_packing_keeps_all_pieces_when_turns_run_out(spark, monkeypatch):
     monkeypatch.setattr(packing, "MAX_TURNS", 1)
     rng = random.Random(5)
