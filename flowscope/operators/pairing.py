@@ -91,7 +91,7 @@ def _homes(units: DataFrame, aff: DataFrame, unit: Sequence[str], picks: Sequenc
 
     sums = (
         aff.alias("a")
-        .join(of.alias("u"), ["topology_id", *unit])
+        .join(of.hint("merge").alias("u"), ["topology_id", *unit])
         .groupBy("topology_id", *unit)
         .agg(
             F.sum("a.affinity").alias("total"),
@@ -99,7 +99,7 @@ def _homes(units: DataFrame, aff: DataFrame, unit: Sequence[str], picks: Sequenc
             *[to(F.col(f"u.{p}.slot_id")).alias(f"at_{p}") for p in picks],
         )
     )
-    joined = units.join(sums, ["topology_id", *unit], "left")
+    joined = units.join(sums.hint("merge"), ["topology_id", *unit], "left")
     home = F.when(F.col("place").isNull(), _or_zero("total")).otherwise(_or_zero("__own"))
     return joined.withColumns({"total": _or_zero("total"), "home": home}).drop("__own")
 
@@ -213,6 +213,11 @@ def slot_picks(state: DataFrame) -> DataFrame:
     return first.join(after, "topology_id", "left")
 
 
+def _unknown(aff: DataFrame, units: DataFrame) -> DataFrame:
+    """Executors with traffic that are not among ``units``."""
+    return aff.select(*EXECUTOR).distinct().join(units.hint("merge"), EXECUTOR, "left_anti")
+
+
 def executor_units(
     placement: DataFrame, state: DataFrame, aff: DataFrame, executors: DataFrame | None = None
 ) -> DataFrame:
@@ -231,9 +236,8 @@ def executor_units(
         units = placement.select(*EXECUTOR, "load", F.col("slot_id").alias("place"))
     else:
         where = placement.select(*EXECUTOR, F.col("slot_id").alias("place"))
-        units = executors.select(*EXECUTOR, "load").join(where, EXECUTOR, "left")
-    unknown = aff.select(*EXECUTOR).distinct().join(units, EXECUTOR, "left_anti")
-    units = units.unionByName(unknown, allowMissingColumns=True)
+        units = executors.select(*EXECUTOR, "load").join(where.hint("merge"), EXECUTOR, "left")
+    units = units.unionByName(_unknown(aff, units), allowMissingColumns=True)
     units = spread_join(units, own, ["topology_id", "place"], ["begin_task", "end_task"])
     units = spread_join(units, slot_picks(state), ["topology_id"], ["begin_task", "end_task"])
     units = written(_homes(units, aff, ["begin_task", "end_task"], ["single", "next", "double"]), "units")
