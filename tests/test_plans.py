@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from contextlib import contextmanager
+from types import SimpleNamespace
 
 import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from flowscope.operators import choose, pairing, resolve, rollup
+from flowscope.operators import choose, pairing, placement, resolve, rollup
 from flowscope.operators.joins import spread_join
-from flowscope.plans.catalog import QUERIES
+from flowscope.plans.catalog import QUERIES, _loaded_pairs
 from flowscope.runtime import stored
 
 DATA = "/root/testdata/sf0.001"
@@ -159,6 +160,46 @@ def test_what_has_a_row_per_task_or_executor_is_not_broadcast(spark, tmp_path, w
     assert "SortMergeJoin" in text and "Broadcast" not in text
 
 
+@pytest.mark.parametrize("which", ["unknown", "homes", "loaded", "nodes", "declared", "slots"])
+def test_executors_are_merged_however_small_their_file(spark, tmp_path, which):
+    executors(spark).write.parquet(f"{tmp_path}/executors")
+    table = spark.read.parquet(f"{tmp_path}/executors")
+    placed = table.withColumn("slot_id", F.col("begin_task") % 3)
+    units = placed.withColumn("place", F.col("slot_id"))
+    own, other = F.col("source_task"), F.col("destination_task")
+    ends = {"src_begin": own, "src_end": own + 7, "dst_begin": other, "dst_end": other + 7}
+    edges(spark, 1000).withColumns(ends).write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    aff = pairs.select("topology_id", F.col("src_begin").alias("begin_task"), F.col("src_end").alias("end_task"),
+                       F.lit(1).alias("place"), F.col("traffic").alias("affinity"))
+    with settings(spark, autoBroadcastJoinThreshold="10MB"):
+        if which == "unknown":
+            df = pairing._unknown(aff, units)
+        elif which == "homes":
+            df = pairing._homes(units, aff, ["begin_task", "end_task"])
+        elif which == "loaded":
+            df = _loaded_pairs(SimpleNamespace(pairs=pairs, load=table))
+        elif which == "nodes":
+            where = placed.select("topology_id", "slot_id", "node").distinct()
+            df = rollup.executor_nodes(placed, where).filter("node is not null")
+        elif which == "declared":
+            df = resolve.match_executors(table, placed.select("topology_id", "begin_task", "end_task", "slot_id"))
+        else:
+            df = placement.executor_to_slot(table.select("topology_id", "begin_task", "end_task"), placed)
+        text = physical(df)
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_slots_in_use_are_counted_once_each_before_they_are_looked_up(spark):
+    """Six slots hold 600 executors; what is looked up has a row per slot."""
+    slots = spark.range(8).select(F.lit(1).alias("topology_id"), F.col("id").cast("int").alias("slot_id"))
+    placed = spark.range(600).select(F.lit(1).alias("topology_id"), (F.col("id") % 6).cast("int").alias("slot_id"))
+    for lookup, found in ((placement.empty_slots, {6, 7}), (placement.used_slots, set(range(6)))):
+        df = lookup(slots, placed)
+        assert sorted(r.slot_id for r in df.collect()) == sorted(found)
+        assert "HashAggregate" in physical(lookup(slots, placed))
+
+
 def test_a_stored_table_is_written_in_small_parts(spark):
     """About 20 MB of shuffle: Spark's 64 MB a task would make one task of it."""
     rows = spark.range(1_500_000).select(F.xxhash64("id").alias("k"))
