@@ -14,25 +14,32 @@ counted once by where both end up.  Nothing is tried and undone.
 
 Affinities and units are written to the shared folder, since each is used several times: a
 pair then meets its units and their affinities across in four joins, whatever its topology's size.
+The first two add the places only; what else is known of a unit comes with its affinity to the
+other's place, so that pairs are short while they are dealt out.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.operators.choose import node_steps, step_for
-from flowscope.operators.joins import spread_join
+from flowscope.operators.joins import SALTS, spread_join
 from flowscope.operators.placement import fits_load
 from flowscope.operators.rollup import topology_slots_on_node
-from flowscope.operators.whatif import affinity, slot_affinity
+from flowscope.operators.whatif import partner_slots, slot_affinity
 from flowscope.runtime import written
 from flowscope.schema import EXECUTOR, SLOT
 
 # Which combinations of candidates are on offer.
 _ALL, _TOGETHER, _APART = 0, 1, 2
+# Of a unit that meets pairs: its own place, that of the others, and in how many copies it meets them.
+_MET = ["place", "there", "salts"]
+# Pairs that may meet one copy of a unit's row.
+PAIRS_A_COPY = 50_000
 
 
 def _zero() -> Column:
@@ -60,22 +67,65 @@ def _undirected(pairs: DataFrame) -> DataFrame:
 
 def _sides(pairs: DataFrame, units: DataFrame, aff: DataFrame, unit: Sequence[str]) -> DataFrame:
     """``pairs`` with all columns of both units, as ``<column>_1`` and ``<column>_2``, and each one's
-    affinity to the other's place, ``across_1`` and ``across_2``.  Pairs keep their rows, whatever is known."""
-
-    def side(which: str, n: int) -> DataFrame:
-        rest = [F.col(c).alias(f"{c}_{n}") for c in units.columns if c not in ("topology_id", *unit)]
-        return units.select("topology_id", F.struct(*unit).alias(which), *rest)
-
-    both = spread_join(pairs, side("first", 1), ["topology_id", "first"], ["second"], grows=True)
-    both = spread_join(both, side("second", 2), ["topology_id", "second"], ["first"], grows=True)
-    for which, n, other in (("first", 1, 2), ("second", 2, 1)):
-        there = _affinity_at(aff, unit, which, f"place_{other}", f"across_{n}")
-        by = ["second" if n == 1 else "first"]
-        both = spread_join(both, there, ["topology_id", which, f"place_{other}"], by, grows=True)
+    affinity to the other's place, ``across_1`` and ``across_2``.  Pairs keep their rows, whatever is known.
+
+    ``salts`` of a unit, where given, says in how many copies it meets the pairs of one place.
+    """
+    if "salts" not in units.columns:
+        units = units.withColumn("salts", F.lit(SALTS))
+    ends = (("first", 1, "second", 2), ("second", 2, "first", 1))
+    places = units.select("topology_id", *unit, "place", "salts").distinct()
+    both = pairs
+    for which, n, other, _ in ends:
+        at = [F.col(c).alias(f"{c}_{n}") for c in ("place", "salts")]
+        at = places.select("topology_id", F.struct(*unit).alias(which), *at)
+        both = _meet(both, at, which, other, F.lit(SALTS), F.lit(SALTS))
+    met = written(_met(units, aff, unit), "met")
+    for which, n, other, o in ends:
+        rest = [F.col(c).alias(f"{c}_{n}") for c in met.columns if c not in ("topology_id", *unit, *_MET)]
+        facts = met.select("topology_id", F.struct(*unit).alias(which), *_MET, *rest)
+        same = [
+            F.col(f"p.place_{n}").eqNullSafe(F.col("f.place")),
+            F.col(f"p.place_{o}").eqNullSafe(F.col("f.there")),
+        ]
+        both = _meet(both, facts, which, other, F.col(f"p.salts_{n}"), F.col("salts"), same).drop(*_MET)
     zero = {c: _or_zero(c) for c in ("load_1", "load_2", "home_1", "home_2", "across_1", "across_2")}
     return both.withColumns(zero)
 
 
+def _meet(
+    pairs: DataFrame, table: DataFrame, which: str, other: str, salts: Column, copies: Column, same: Sequence[Column] = ()
+) -> DataFrame:
+    """``pairs`` (``p``) with the rows of ``table`` (``f``) on the unit ``which``, spread by the other one.
+
+    Like ``spread_join`` of a table that grows, but the salt is no column: it would be among the
+    longest of a short row.
+    """
+    table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).hint("merge")
+    keys = [F.col(f"p.{c}") == F.col(f"f.{c}") for c in ("topology_id", which)]
+    salt = F.pmod(F.xxhash64(f"p.{other}"), salts).cast("int") == F.col("f.salt")
+    joined = pairs.alias("p").join(table.alias("f"), [*keys, *same, salt], "left")
+    return joined.select("p.*", *[f"f.{c}" for c in table.columns if c not in ("topology_id", which, "salt")])
+
+
+def _met(units: DataFrame, aff: DataFrame, unit: Sequence[str]) -> DataFrame:
+    """``units`` once for every place ``there`` a partner may have, with their traffic ``across`` to it, and once without."""
+    key = F.struct(*unit).alias("unit")
+    across = aff.select("topology_id", key, F.col("place").alias("there"), F.col("affinity").alias("across"))
+    # Affinities miss pairs with a key that is not whole; these units meet all places, and all units theirs.
+    torn = units.filter(functools.reduce(Column.__or__, [F.col(c).isNull() for c in unit]))
+
+    def meet(some: DataFrame, others: DataFrame) -> DataFrame:
+        places = others.filter(F.col("place").isNotNull()).select("topology_id", F.col("place").alias("there"))
+        some = some.select("topology_id", key)
+        return spread_join(some, places.distinct(), ["topology_id"], ["unit"], "inner", grows=True)
+
+    asked = across.drop("across").unionByName(meet(units, torn)).unionByName(meet(torn, units)).distinct()
+    asked = asked.join(across.hint("merge"), ["topology_id", "unit", "there"], "left")
+    known = asked.join(units.withColumn("unit", key).hint("merge"), ["topology_id", "unit"]).drop("unit")
+    return known.unionByName(units, allowMissingColumns=True)
+
+
 def _affinity_at(aff: DataFrame, unit: Sequence[str], which: str, place: str, name: str) -> DataFrame:
     return aff.select(
         "topology_id", F.struct(*unit).alias(which), F.col("place").alias(place), F.col("affinity").alias(name)
@@ -219,10 +269,9 @@ def _unknown(aff: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def executor_units(
-    placement: DataFrame, state: DataFrame, aff: DataFrame, executors: DataFrame | None = None
+    placement: DataFrame, state: DataFrame, aff: DataFrame, picks: DataFrame, executors: DataFrame | None = None
 ) -> DataFrame:
-    """Per executor its place, load and home, the state of its slot, its topology's picks and its
-    affinities to them, and the topology's present cut."""
+    """Per executor its place, load, total and home, the state of its slot and its affinities to its topology's picks."""
     own = state.select(
         "topology_id",
         F.col("slot_id").alias("place"),
@@ -239,12 +288,19 @@ def executor_units(
         units = executors.select(*EXECUTOR, "load").join(where.hint("merge"), EXECUTOR, "left")
     units = units.unionByName(_unknown(aff, units), allowMissingColumns=True)
     units = spread_join(units, own, ["topology_id", "place"], ["begin_task", "end_task"])
-    units = spread_join(units, slot_picks(state), ["topology_id"], ["begin_task", "end_task"])
-    units = written(_homes(units, aff, ["begin_task", "end_task"], ["single", "next", "double"]), "units")
+    units = spread_join(units, picks, ["topology_id"], ["begin_task", "end_task"])
+    units = _homes(units, aff, ["begin_task", "end_task"], ["single", "next", "double"])
+    # Only pairs without a place ask for two.
+    alone = {c: F.when(F.col("place").isNull(), F.col(c)) for c in ("at_next", "at_double")}
+    return units.drop("single", "next", "double", "limit").withColumns(alone)
+
+
+def topology_facts(units: DataFrame, picks: DataFrame) -> DataFrame:
+    """Per topology with units its present cut and its picks."""
     # Every cut pair is in the totals of both its ends.
     outside = F.sum(F.when(F.col("place").isNotNull(), F.col("total") - F.col("home")))
     cut = units.groupBy("topology_id").agg(F.call_function("div", F.coalesce(outside, _zero()), F.lit(2)).alias("cut"))
-    return spread_join(units, cut, ["topology_id"], ["begin_task", "end_task"]).drop("total")
+    return cut.join(picks, "topology_id", "left")
 
 
 def _executor_choices(
@@ -252,12 +308,27 @@ def _executor_choices(
 ) -> DataFrame:
     unit = ["begin_task", "end_task"]
     placed = placement.filter(F.col("slot_id").isNotNull())
-    aff = written(affinity(pairs, placed).withColumnRenamed("slot_id", "place"), "affinity")
-    units = executor_units(placement, state, aff, executors)
-    rows = _sides(_undirected(pairs), units, aff, unit)
-
-    def of(name: str) -> Column:  # a fact of the topology, from whichever end knows it
-        return F.coalesce(F.col(f"{name}_1"), F.col(f"{name}_2"))
+    links = (
+        partner_slots(pairs, placed)
+        .groupBy(*EXECUTOR, F.col("slot_id").alias("place"))
+        .agg(F.sum("traffic").alias("affinity"), F.count(F.lit(1)).alias("n"))
+    )
+    links = written(links, "affinity")
+    aff = links.filter(F.col("place").isNotNull()).drop("n")
+    most = F.call_function("div", F.max("n") - 1, F.lit(PAIRS_A_COPY)) + 1
+    salts = links.groupBy(*EXECUTOR).agg(most.cast("int").alias("salts"))
+    picks = written(slot_picks(state), "picks")
+    units = executor_units(placement, state, aff, picks, executors).join(salts.hint("merge"), EXECUTOR, "left")
+    units = units.withColumns({"salts": F.coalesce("salts", F.lit(1)), "known": F.lit(True)})
+    units = written(units, "units")
+    # Written, so that the optimizer sees how few they are and leaves the pairs where they lie.
+    facts = written(topology_facts(units, picks), "topologies")
+    rows = _sides(_undirected(pairs), units.drop("total"), aff, unit)
+    rows = spread_join(rows, facts, ["topology_id"], ["first"])
+    known = F.coalesce("known_1", "known_2")
+
+    def of(name: str) -> Column:  # a fact of the topology, where either end is known
+        return F.when(known, F.col(name))
 
     def spot(pick: str) -> Column:
         at = of(pick)

@@ -109,3 +109,41 @@ def test_few_exchanges_of_pairs(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(topology_id#\d+, (?:first|second)#", plan)) == 2 * 4
     assert len(re.findall(r"Exchange hashpartitioning\(topology_id#\d+, _groupingexpression", plan)) == 1
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pairs_are_short_while_they_are_dealt_out(spark):
+    """Facts of a topology never lie beside a pair in an exchange, those of a unit in the last one only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1MB")
+    try:
+        pairs = spark.createDataFrame([(1, 0, 0, 1, 1, 7)], PAIRS)
+        placement = spark.createDataFrame([(1, 0, 0, 4, 0), (1, 1, 1, 4, None)], PLACED)
+        state = spark.createDataFrame([(1, 0, 1, 4, 2, 9)], STATE)
+        for operator in (pairing.score_pair_placements, pairing.best_pair_placement):
+            plan = operator(pairs, placement, state)._jdf.queryExecution().explainString(
+                spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            )
+            dealt = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+            both = sorted((x.count(", ") + 1 for x in dealt if "first#" in x and "second#" in x), reverse=True)
+            assert len(both) == 4 and both[0] <= 16 and both[1] <= 8, both
+            assert not any(re.search(r"\b(single|double|next|limit|cut)", x) for x in dealt if "second#" in x)
+            assert "BroadcastHashJoin LeftOuter BuildRight" in plan  # topologies are few; pairs stay where they are
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_copies_repeated_units_and_torn_keys(spark, monkeypatch):
+    """One executor with many partners, one listed twice, one without an end."""
+    weight = [(1, 0, 0, b, b, 1 + b % 3) for b in range(1, 40)] + [(1, 3, 3, 50, None, 2), (1, 4, 4, 3, 3, 5)]
+    rows = [(1, b, b, 2, b % 3 if b % 4 else None) for b in range(40)] + [(1, 5, 5, 2, 2), (1, 50, None, 1, 1)]
+    pairs, placement = spark.createDataFrame(weight, PAIRS), spark.createDataFrame(rows, PLACED)
+    state = spark.createDataFrame([(1, s, 9, 20 + s, 30, 90) for s in range(3)], STATE)
+
+    def result():
+        return sorted(map(str, pairing.best_pair_placement(pairs, placement, state).collect()))
+
+    few = result()
+    monkeypatch.setattr(pairing, "PAIRS_A_COPY", 3)
+    assert result() == few
+    # A pair has a row for each time a unit is listed; the one without an end also counts as unknown.
+    assert len(few) == (39 + 1) + 2 + 1
+    assert all("first_slot=None" not in r for r in few)
