@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from contextlib import contextmanager
 from types import SimpleNamespace
 
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from flowscope.operators import choose, pairing, placement, resolve, rollup
 from flowscope.operators.joins import spread_join
 from flowscope.plans.catalog import QUERIES, _loaded_pairs
-from flowscope.runtime import stored
+from flowscope.runtime import stored, written
 
 DATA = "/root/testdata/sf0.001"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 STREAMS = {name for name in QUERIES if name.startswith("stream_")}
 # These write to a sink while the query is built.
 SINKS = {"scan_tables", "sink_assignment_append"}
@@ -208,3 +210,21 @@ def test_a_stored_table_is_written_in_small_parts(spark):
         df = stored(spark, "small-parts", lambda: rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
         assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) == before
         assert len(df.inputFiles()) > 1 and df.count() == 1_500_000
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+    def shuffles() -> set[str]:
+        found = files.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before, kept = shuffles(), spark.conf.get(CLEANUP)
+    tables = [written(sums, "sums"), stored(spark, "sums", lambda: sums)]
+    deadline = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(CLEANUP) == kept
+    assert [t.agg(F.sum("n")).first()[0] for t in (*tables, sums)] == [1000] * 3
